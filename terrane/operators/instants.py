@@ -37,42 +37,35 @@ CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 SWITCH, BACKWARD, SECOND_PASS = 1.0, 2.0, 1000.0
 
 
-def _part(v: Column, pattern: str, k: int) -> Column:
-    g = F.regexp_extract(v, pattern, k)
-    return F.when(g != "", g)
+FIELDS = ("year", "month", "day", "hour", "minute", "second", "fraction", "half", "zone", "bracket")
+#: Per family: a cheap test, the pattern, and its groups in the order of FIELDS (0: the family has no such part).
+FAMILIES = (
+    ("ymd", r"^\d{4}[-/.]\d", YMD, (1, 3, 4, 5, 6, 7, 8, 0, 9, 10)),
+    ("compact", r"^\d{8}[T ]?\d{4}(\d{2})?([^\d]|$)", COMPACT, (1, 2, 3, 4, 5, 6, 7, 0, 8, 9)),
+    ("numeric", r"^\d{1,2}[-/.]\d", NUMERIC, (4, 3, 1, 5, 6, 7, 8, 9, 10, 11)),
+    ("day", r"[A-Za-z]{3}", DAY_FIRST, (3, 2, 1, 4, 5, 6, 7, 8, 9, 10)),
+    ("month", r"[A-Za-z]{3}", MONTH_FIRST, (3, 1, 2, 4, 5, 6, 7, 8, 9, 10)),
+    ("ctime", r"[A-Za-z]{3}", CTIME, (8, 1, 2, 3, 4, 5, 6, 0, 9, 10)),
+)
 
 
 def _month(name: Column) -> Column:
     n = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3))).cast("int")
-    return F.when(n > 0, n)
+    return F.when(name.rlike(r"^\d+$"), name.try_cast("int")).when(n > 0, n)
 
 
-def _wall(y, mo, d, h, mi, s, frac, ampm=None) -> Column:
-    """Microseconds of the wall clock, null where there is no such date or time. Two-digit years are 20yy."""
-    year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    date = F.try_make_timestamp_ntz(
-        year.cast("int"), mo.cast("int"), d.cast("int"), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")
-    )
-    hour, minute, second = (F.coalesce(x.cast("int"), F.lit(0)) for x in (h, mi, s))
-    ok = (hour < 24) & (minute < 60) & (second < 60) & (year.cast("int") > 0)
-    if ampm is not None:
-        half = F.lower(F.substring(ampm, 1, 1))
-        ok = ok & (ampm.isNull() | hour.between(1, 12))
-        hour = F.when(half == "p", F.pmod(hour, F.lit(12)) + 12).when(half == "a", F.pmod(hour, F.lit(12))).otherwise(hour)
-    micro = F.coalesce(F.rpad(F.substring(frac, 1, 6), 6, "0").cast("bigint"), F.lit(0))
-    base = F.unix_micros(date.cast("timestamp"))
-    return F.when(ok, base + (hour * 3600 + minute * 60 + second).cast("bigint") * 1_000_000 + micro)
+def _days(year: Column, month: Column, day: Column) -> Column:
+    """The date, null where the calendar has none."""
+    return F.try_make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"))
 
 
 def _offset(zone: Column) -> Column:
     """Minutes east of UTC for an offset or abbreviation, else null."""
-    digits = F.regexp_extract(zone, r"^(?:UTC|GMT)?([+-])(\d{1,2}):?(\d{2})?", 2)
-    mins = F.regexp_extract(zone, r"^(?:UTC|GMT)?([+-])(\d{1,2}):?(\d{2})?", 3)
-    sign = F.when(F.regexp_extract(zone, r"^(?:UTC|GMT)?([+-])", 1) == "-", -1).otherwise(1)
+    shape = r"^(?:UTC|GMT)?([+-])(\d{1,2}):?(\d{2})?.*$"
+    hours, mins = F.regexp_extract(zone, shape, 2), F.regexp_extract(zone, shape, 3)
+    sign = F.when(F.regexp_extract(zone, shape, 1) == "-", -1).otherwise(1)
     table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    return F.when(digits != "", sign * (digits.cast("int") * 60 + F.coalesce(F.when(mins != "", mins.cast("int")), F.lit(0)))).otherwise(
-        F.try_element_at(table, F.upper(zone))
-    )
+    return F.when(hours != "", sign * (hours.cast("int") * 60 + F.coalesce(mins.try_cast("int"), F.lit(0)))).otherwise(F.try_element_at(table, F.upper(zone)))
 
 
 def zone_names(spark) -> list[str]:
@@ -85,69 +78,69 @@ def candidates(values: DataFrame, value: str = "value", tz: str = "tz", order: s
 
     A zone or offset in the text wins, else the source's ``tz`` holds (null or unknown: UTC). Numeric dates are read
     in the source's ``date_order``; without one, both ways. An hour that occurs twice gives both passes. Null, blank and
-    impossible values give an empty array.
+    impossible values give an empty array. Each text is matched once; the parts are taken from the one match.
     """
+    names = sorted(zone_names(values.sparkSession))
+    zones = F.array(*map(F.lit, names))
     v = F.regexp_replace(F.translate(strip(value), "\u2212\u2010\u2011\u2012\u2013\u00a0\u202f\u2009", "-----   "), r"\s+", " ")
-    base = values.withColumn("_v", v)
-    zones = F.array(*map(F.lit, sorted(zone_names(values.sparkSession))))
-    local = F.when(F.array_contains(zones, F.col(tz)), F.col(tz)).otherwise(F.lit("UTC"))
-
-    def reading(fmt: str, pattern: str, wall: Column, zone: Column | None, bracket: Column | None) -> Column:
-        return F.when(wall.isNotNull(), F.struct(F.lit(fmt).alias("fmt"), wall.alias("wall"), (zone if zone is not None else F.lit(None).cast("string")).alias("zone"), (bracket if bracket is not None else F.lit(None).cast("string")).alias("bracket")))
-
     c = F.col("_v")
-    g = lambda p, *ks: [_part(c, p, k) for k in ks]
-    y, mo, d, h, mi, s, f, z, b = g(YMD, 1, 3, 4, 5, 6, 7, 8, 9, 10)
-    iso = reading("ymd", YMD, _wall(y, mo, d, h, mi, s, f), z, b)
-    y, mo, d, h, mi, s, f, z, b = g(COMPACT, 1, 2, 3, 4, 5, 6, 7, 8, 9)
-    compact = reading("compact", COMPACT, F.when(~c.rlike(r"^\d+$") | (F.length(c) == 14), _wall(y, mo, d, h, mi, s, f)), z, b)
-    n1, n2, y, h, mi, s, f, ap, z, b = g(NUMERIC, 1, 3, 4, 5, 6, 7, 8, 9, 10, 11)
-    dmy = reading("dmy", NUMERIC, F.when(F.coalesce(F.col(order), F.lit("DMY")) != "MDY", _wall(y, n2, n1, h, mi, s, f, ap)), z, b)
-    mdy = reading("mdy", NUMERIC, F.when(F.coalesce(F.col(order), F.lit("MDY")) == "MDY", _wall(y, n1, n2, h, mi, s, f, ap)), z, b)
-    d, m, y, h, mi, s, f, ap, z, b = g(DAY_FIRST, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10)
-    day = reading("day", DAY_FIRST, _wall(y, _month(m), d, h, mi, s, f, ap), z, b)
-    m, d, y, h, mi, s, f, ap, z, b = g(MONTH_FIRST, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10)
-    month = reading("month", MONTH_FIRST, _wall(y, _month(m), d, h, mi, s, f, ap), z, b)
-    m, d, h, mi, s, f, z0, y, z, b = g(CTIME, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10)
-    ctime = reading("ctime", CTIME, _wall(y, _month(m), d, h, mi, s, f), F.coalesce(z, z0), b)
-
-    lettered, dashed = c.rlike("[A-Za-z]{3}"), c.rlike(r"^\d{4}[-/.]\d")
-    parsed = F.array_compact(
-        F.when(dashed, F.array(iso))
-        .when(c.rlike(r"^\d{1,2}[-/.]\d"), F.array(dmy, mdy))
-        .when(c.rlike(r"^\d{8}[T ]?\d{4}"), F.array(compact))
-        .when(lettered & c.rlike(r"\d"), F.array(day, month, ctime))
-    )
-    digits, n = F.regexp_extract(c, NUMBER, 1), F.length(F.regexp_extract(c, NUMBER, 1))
-    fraction = F.coalesce(F.rpad(F.substring(_part(c, NUMBER, 2), 1, 6), 6, "0").cast("bigint"), F.lit(0))
-    num = F.try_to_number(digits, F.lit("9" * 19)).cast("bigint")
-    bare = F.when(
-        c.rlike(NUMBER) & ~c.rlike(r"^\d{14}(\D|$)"),
-        F.when(n <= 11, num * 1_000_000 + fraction).when(n <= 14, num * 1000).when(n <= 17, num).otherwise(F.floor(num / 1000).cast("bigint")),
+    family = F.lit(None).cast("string")
+    for fmt, test, pattern, _ in reversed(FAMILIES):
+        family = F.when(c.rlike(test) & c.rlike(pattern), F.lit(fmt)).otherwise(family)
+    family = F.when(c.rlike(NUMBER) & ~c.rlike(FAMILIES[1][1]), F.lit("number")).otherwise(family)
+    taken = F.lit(None).cast("string")
+    for fmt, _, pattern, groups in FAMILIES:
+        form = "\x01".join(f"${g}" if g else "" for g in groups)
+        if fmt == "ctime":
+            form = form.replace("$9", "$9$7")  # the zone may stand before the year
+        taken = F.when(F.col("_f") == fmt, F.regexp_replace(c, pattern, form)).otherwise(taken)
+    out = values.withColumn("_v", v).withColumn("_f", family).withColumn("_p", F.split(taken, "\x01"))
+    g = {n: F.when(F.col("_p")[k] != "", F.col("_p")[k]) for k, n in enumerate(FIELDS)}
+    year = F.when(F.length(g["year"]) == 2, F.concat(F.lit("20"), g["year"])).otherwise(g["year"]).cast("int")
+    hour, minute, second = (F.coalesce(g[x].cast("int"), F.lit(0)) for x in ("hour", "minute", "second"))
+    half = F.lower(F.substring(g["half"], 1, 1))
+    clock = F.when(half == "p", F.pmod(hour, F.lit(12)) + 12).when(half == "a", F.pmod(hour, F.lit(12))).otherwise(hour)
+    fine = (hour < 24) & (minute < 60) & (second < 60) & (half.isNull() | hour.between(1, 12)) & (year > 0)
+    micro = F.coalesce(F.rpad(F.substring(g["fraction"], 1, 6), 6, "0").cast("bigint"), F.lit(0))
+    of_day = F.when(fine, (clock * 3600 + minute * 60 + second).cast("bigint") * 1_000_000 + micro)
+    out = out.withColumns({
+        "_y": year, "_m": _month(g["month"]), "_d": g["day"].cast("int"), "_t": of_day, "_off": _offset(g["zone"]),
+        "_named": F.coalesce(g["bracket"], g["zone"]), "_has": g["zone"].isNotNull(),
+    })
+    given = F.array_contains(zones, F.col("_named"))
+    local = F.when(F.array_contains(zones, F.col(tz)), F.col(tz)).otherwise(F.lit("UTC"))
+    out = out.withColumn("_zone", F.when(given, F.col("_named")).when(~F.col("_has"), local))
+    reads = F.when(
+        F.col("_f") == "numeric",
+        F.array_compact(F.array(
+            F.when(F.coalesce(F.col(order), F.lit("DMY")) != "MDY", F.struct(F.lit("dmy").alias("fmt"), _days(F.col("_y"), F.col("_m"), F.col("_d")).alias("day"))),
+            F.when(F.coalesce(F.col(order), F.lit("MDY")) == "MDY", F.struct(F.lit("mdy").alias("fmt"), _days(F.col("_y"), F.col("_d"), F.col("_m")).alias("day"))),
+        )),
+    ).when(F.col("_p").isNotNull(), F.array(F.struct(F.col("_f").alias("fmt"), _days(F.col("_y"), F.col("_m"), F.col("_d")).alias("day"))))
+    walls = F.filter(F.transform(reads, lambda x: F.struct(x["fmt"].alias("fmt"), (F.unix_micros(x["day"].cast("timestamp")) + F.col("_t")).alias("wall"))), lambda x: x["wall"].isNotNull())
+    out = out.withColumn("_walls", F.coalesce(walls, F.array()))
+    none = F.array().cast("array<struct<fmt:string,utc_us:bigint,cost:double>>")
+    made = lambda fmt, us, cost: F.struct(fmt.alias("fmt"), us.alias("utc_us"), F.lit(cost).alias("cost"))
+    utc = lambda x: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(x), F.col("_zone")))
+    back = lambda x: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(x), F.col("_zone")))
+    zoned = F.transform("_walls", lambda x: F.struct(x["fmt"].alias("fmt"), x["wall"].alias("wall"), utc(x["wall"]).alias("first")))
+    both = F.flatten(F.transform(zoned, lambda x: F.when(
+        back(x["first"] + 3_600_000_000) == x["wall"],
+        F.array(made(x["fmt"], x["first"], 0.0), made(x["fmt"], x["first"] + 3_600_000_000, SECOND_PASS)),
+    ).otherwise(F.array(made(x["fmt"], x["first"], 0.0)))))
+    digits = F.regexp_extract(c, NUMBER, 1)
+    n = F.length(digits)
+    num = digits.try_cast("bigint")
+    fraction = F.coalesce(F.rpad(F.substring(F.regexp_extract(c, NUMBER, 2), 1, 6), 6, "0").try_cast("bigint"), F.lit(0))
+    bare = F.when(n <= 11, num * 1_000_000 + fraction).when(n <= 14, num * 1000).when(n <= 17, num).otherwise(F.floor(num / 1000).cast("bigint"))
+    cands = (
+        F.when(F.col("_f") == "number", F.when(bare.isNotNull(), F.array(made(F.lit("number"), bare, 0.0))).otherwise(none))
+        .when(F.col("_off").isNotNull(), F.transform("_walls", lambda x: made(x["fmt"], x["wall"] - F.col("_off").cast("bigint") * 60_000_000, 0.0)))
+        .when(F.col("_zone").isNotNull(), both)
+        .otherwise(none)
     )
-    out = base.withColumns({"_parsed": F.coalesce(parsed, F.array()), "_bare": bare, "_local": local})
-
-    def resolve(x: Column) -> Column:
-        """The instants of one reading: fixed offset, named zone, or the source's own zone."""
-        off = F.when(F.upper(x["zone"]).isin("AM", "PM"), F.lit(None).cast("int")).otherwise(_offset(x["zone"]))
-        named = F.coalesce(x["bracket"], F.when(off.isNull(), x["zone"]))
-        known = F.array_contains(zones, named)
-        bad = x["zone"].isNotNull() & off.isNull() & ~F.coalesce(known, F.lit(False)) & ~F.upper(x["zone"]).isin("AM", "PM")
-        zone = F.when(known, named).otherwise(F.col("_local"))
-        wall = F.timestamp_micros(x["wall"])
-        first = F.unix_micros(F.to_utc_timestamp(wall, zone))
-        later = first + 3_600_000_000
-        again = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(later), zone)) == x["wall"]
-        made = lambda us, cost: F.struct(x["fmt"].alias("fmt"), us.alias("utc_us"), F.lit(cost).alias("cost"))
-        return (
-            F.when(off.isNotNull(), F.array(made(x["wall"] - off.cast("bigint") * 60_000_000, 0.0)))
-            .when(bad, F.array().cast("array<struct<fmt:string,utc_us:bigint,cost:double>>"))
-            .when(again, F.array(made(first, 0.0), made(later, SECOND_PASS)))
-            .otherwise(F.array(made(first, 0.0)))
-        )
-
-    number = F.when(F.col("_bare").isNotNull(), F.array(F.struct(F.lit("number").alias("fmt"), F.col("_bare").alias("utc_us"), F.lit(0.0).alias("cost"))))
-    return out.withColumn("cands", F.coalesce(number, F.array_distinct(F.flatten(F.transform("_parsed", resolve))))).drop("_v", "_parsed", "_bare", "_local")
+    keep = [*values.columns, "cands"]
+    return out.withColumn("cands", F.array_distinct(F.coalesce(cands, none))).select(*keep)
 
 
 # Viterbi. The state of a record is its chosen candidate. Blocks are sorted range partitions; a block's (min, +) matrix from
@@ -215,16 +208,17 @@ def _pick(source: pd.Series, cands: pd.Series, ends: dict) -> np.ndarray:
     return pick
 
 
-def choose(cands: DataFrame, source: str, order: str, keep: list[str]) -> DataFrame:
+def choose(values: DataFrame, source: str, order: str, keep: list[str], value: str = "value", tz: str = "tz", date_order: str = "date_order") -> DataFrame:
     """One instant per record with any reading: ``keep`` plus utc_us, by Viterbi along ``order`` within ``source``.
 
     ``source`` and ``order`` must be non-null; records of equal order are taken by ``keep``. Records without a
     reading do not take part. Empty input gives an empty result.
     """
-    live = cands.where(F.size("cands") > 0).select(*dict.fromkeys([source, order, *keep]), "cands")
-    blocks = cut(
-        live.repartitionByRange(source, order, *keep).sortWithinPartitions(source, order, *keep).withColumn("block", F.spark_partition_id())
-    )
+    rows = values.select(*dict.fromkeys([source, order, *keep, value, tz, date_order]))
+    # Texts are sorted before they are read, so that the readings are made once, in place, and never shuffled.
+    placed = rows.repartitionByRange(source, order, *keep).sortWithinPartitions(source, order, *keep)
+    read = candidates(placed, value, tz, date_order).withColumn("block", F.spark_partition_id())
+    blocks = cut(read.select(*dict.fromkeys([source, order, *keep]), "cands", "block")).where(F.size("cands") > 0)
     cell = "fmt string, utc_us bigint, cost double"
 
     def summaries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,7 +282,7 @@ def choose(cands: DataFrame, source: str, order: str, keep: list[str]) -> DataFr
     ends: dict[int, dict] = {}
     for r in forced.collect():  # two rows per partition at most
         ends.setdefault(r["block"], {})[r["source"]] = (r["start"], r["end"])
-    shared = cands.sparkSession.sparkContext.broadcast(ends)
+    shared = values.sparkSession.sparkContext.broadcast(ends)
     fields = [f for f in blocks.schema.fields if f.name in keep]
     names = [f.name for f in fields]
 
@@ -339,7 +333,7 @@ def instants_of_tables(file_metrics: DataFrame, snapshot: DataFrame, repos: Data
     )
     rows = fm.unionByName(sn).where("value IS NOT NULL AND row_id IS NOT NULL")
     rows = rows.withColumn("source", F.concat_ws("|", "table_name", "field", F.coalesce("owner", F.lit(""))))
-    return choose(candidates(rows), "source", "row_id", ["table_name", "row_id", "field", "value"])
+    return choose(rows, "source", "row_id", ["table_name", "row_id", "field", "value"])
 
 
 def found(file_metrics: DataFrame, snapshot: DataFrame, repos: DataFrame, estates: DataFrame) -> DataFrame:

@@ -18,38 +18,24 @@ def route_key(path: Column) -> Column:
     return F.regexp_replace(p, r"/+$", "")
 
 
-def _entries(name: str) -> Column:
-    """Sorted array of (key, val) of one snapshot; val is the sorted set of methods, empty for services."""
-    if name == "service":
-        keys = F.array_sort(F.array_distinct(F.filter(F.transform("services", strip), lambda x: x != "")))
-        return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit("").alias("val")))
+def _entries(body: DataFrame, kind: str) -> DataFrame:
+    """(estate, snapshot_id, record_type, entries): the sorted (key, val) of each snapshot that has the array.
+
+    val is the sorted set of methods, empty for services. A delivered array without any readable entry gives an empty one.
+    """
     shape = r"^(\S+)\s+(\S+)\s+(\S.*)$"
-    rows = F.filter(F.transform("routes", strip), lambda r: r.rlike(shape))
-    pairs = F.transform(
-        rows,
-        lambda r: F.struct(
-            F.concat_ws(" ", F.regexp_extract(r, shape, 1), route_key(F.regexp_extract(r, shape, 3))).alias("key"),
-            F.upper(F.regexp_extract(r, shape, 2)).alias("method"),
-        ),
-    )
-    # sorted by key then method, so equal keys are neighbours; one pass folds them to key and joined methods
-    start = F.array().cast("array<struct<key:string,val:string>>")
-    folded = F.aggregate(
-        F.array_sort(F.array_distinct(pairs)),
-        F.struct(start.alias("done"), F.lit(None).cast("string").alias("key"), F.lit("").alias("val")),
-        lambda acc, x: F.when(
-            acc["key"].eqNullSafe(x["key"]),
-            F.struct(acc["done"].alias("done"), acc["key"].alias("key"), F.concat_ws(",", acc["val"], x["method"]).alias("val")),
-        ).otherwise(
-            F.struct(
-                F.when(acc["key"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["key"].alias("key"), acc["val"].alias("val"))))).alias("done"),
-                x["key"].alias("key"),
-                x["method"].alias("val"),
-            )
-        ),
-        lambda acc: F.when(acc["key"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["key"].alias("key"), acc["val"].alias("val"))))),
-    )
-    return folded
+    col = "services" if kind == "service" else "routes"
+    ids = ["estate", "snapshot_id"]
+    rows = body.where(F.col(col).isNotNull()).select(*ids, F.explode_outer(col).alias("r")).withColumn("r", strip("r"))
+    if kind == "service":
+        key, val = F.col("r"), F.lit("")
+    else:
+        key = F.when(F.col("r").rlike(shape), F.concat_ws(" ", F.regexp_extract("r", shape, 1), route_key(F.regexp_extract("r", shape, 3))))
+        val = F.upper(F.regexp_extract("r", shape, 2))
+    keyed = rows.select(*ids, F.when(key != "", key).alias("key"), val.alias("val"))
+    one = keyed.groupBy(*ids, "key").agg(F.concat_ws(",", F.array_sort(F.collect_set("val"))).alias("val"))
+    there = F.when(F.col("key").isNotNull(), F.struct("key", "val"))
+    return one.groupBy(*ids).agg(F.array_sort(F.collect_list(there)).alias("entries")).select(*ids, F.lit(kind).alias("record_type"), "entries")
 
 
 def chunks(snaps: DataFrame, entries: str = "entries") -> DataFrame:
@@ -111,7 +97,7 @@ def snapshot_changes(snapshot: DataFrame, repos: DataFrame, estates: DataFrame,
     light = snapshot.select("snapshot_id", "estate", "taken_at", "loaded_at").where("estate IS NOT NULL")
     zone = estates.groupBy("estate").agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order"))
     stamped = light.groupBy("snapshot_id", "estate", F.col("taken_at").alias("value")).agg(F.min("loaded_at").alias("loaded_at")).join(zone, "estate", "left")
-    at = instants.choose(instants.candidates(stamped), "estate", "snapshot_id", ["estate", "snapshot_id", "loaded_at"])
+    at = instants.choose(stamped, "estate", "snapshot_id", ["estate", "snapshot_id", "loaded_at"])
     body = snapshot.where("estate IS NOT NULL").groupBy("estate", "snapshot_id").agg(F.max_by("services", F.struct(F.col("services").isNotNull(), "loaded_at")).alias("services"), F.max_by("routes", F.struct(F.col("routes").isNotNull(), "loaded_at")).alias("routes"))
     given = body.join(at.groupBy("estate", "snapshot_id").agg(F.min("utc_us").alias("utc_us"), F.min("loaded_at").alias("loaded_at")), ["estate", "snapshot_id"])
     # ranks are numbered over rows without payload, then joined to the arrays
@@ -121,8 +107,5 @@ def snapshot_changes(snapshot: DataFrame, repos: DataFrame, estates: DataFrame,
     ))).where("there")
     w = Window.partitionBy("estate", "record_type").orderBy("utc_us", "loaded_at", "snapshot_id")
     rank = flags.withColumn("rank", F.row_number().over(w)).select("estate", "snapshot_id", "record_type", "rank")
-    parts = [
-        body.where(F.col(col).isNotNull()).select("estate", "snapshot_id", F.lit(kind).alias("record_type"), _entries(kind).alias("entries"))
-        for kind, col in (("service", "services"), ("route", "routes"))
-    ]
+    parts = [_entries(body, kind) for kind in ("service", "route")]
     return changes(parts[0].unionByName(parts[1]).join(rank, ["estate", "snapshot_id", "record_type"]))
