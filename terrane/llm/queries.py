@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import leaks
+from terrane.llm import cooccur, leaks, names
 from terrane.session import table
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.found(table(spark, sf, "ownership"), table(spark, sf, "file_metrics"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return cooccur.found(table(spark, sf, "commits"))
+
+
+def p6_scores(spark: SparkSession, sf: str) -> DataFrame:
+    got = cooccur.coupled(table(spark, sf, "commits"))
+    return got.selectExpr("grp AS repo", "a", "b", "shared", "a_revs", "b_revs", "round(degree, 4) AS degree", "round(lift, 4) AS lift")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.found(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -16,5 +29,5 @@ def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.removal_spans(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_spans)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_scores, p7_found, p7_spans)}
+ORACLE: dict[str, str] = {"p6_found": cooccur.FOUND_SQL}
