@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import cooccur, leaks, names
+from terrane.llm import cooccur, handwritten, leaks, mixing, names, splitting
 from terrane.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return handwritten.found(table(spark, sf, "file_metrics"), table(spark, sf, "file_heads"))
+
+
+def p1_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return handwritten.kind(handwritten.scored(table(spark, sf, "file_metrics"), table(spark, sf, "file_heads")))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.found(table(spark, sf, "ownership"), table(spark, sf, "file_metrics"))
 
@@ -29,5 +37,17 @@ def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.removal_spans(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_scores, p7_found, p7_spans)}
+def p8_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
+def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split(table(spark, sf, "documents"), table(spark, sf, "size_limits"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p5_found, p6_found, p6_scores, p7_found, p7_spans, p8_selection, p8_report, p9_pieces)}
 ORACLE: dict[str, str] = {"p6_found": cooccur.FOUND_SQL}
