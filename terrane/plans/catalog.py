@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrane.plans import problems
+from terrane.plans import estate_queries, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLE: dict[str, str] = {}
+QUERIES = {**estate_queries.QUERIES, **problems.QUERIES}
+ORACLE: dict[str, str] = {**estate_queries.ORACLE, **problems.ORACLE}

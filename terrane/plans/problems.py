@@ -26,3 +26,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found)}
+
+#: Fixed by the problem: an end is a case if no delivery of its id is valid at the edge's load.
+P2_SQL = r"""
+WITH v AS (SELECT trim(id, E' \\t\\n\\r') AS k, loaded_at AS a, coalesce(deleted_at, TIMESTAMP '9999-12-31') AS b FROM nodes),
+e AS (SELECT id AS edge_id, 'src' AS end_name, trim(src, E' \\t\\n\\r') AS k, loaded_at AS t FROM edges UNION ALL SELECT id, 'dst', trim(dst, E' \\t\\n\\r'), loaded_at FROM edges)
+SELECT DISTINCT edge_id, end_name FROM e WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM v WHERE v.k = e.k AND e.t >= v.a AND e.t < v.b)
+"""
+ORACLE: dict[str, str] = {"p2_found": P2_SQL.replace("\\\\", "\\")}
