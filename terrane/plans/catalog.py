@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrane.plans import estate_queries, problems
+from terrane.plans import estate_queries, problems, text_queries
 
-QUERIES = {**estate_queries.QUERIES, **problems.QUERIES}
-ORACLE: dict[str, str] = {**estate_queries.ORACLE, **problems.ORACLE}
+QUERIES = {**estate_queries.QUERIES, **text_queries.QUERIES, **problems.QUERIES}
+ORACLE: dict[str, str] = {**estate_queries.ORACLE, **text_queries.ORACLE, **problems.ORACLE}
