@@ -132,7 +132,7 @@ def candidates(values: DataFrame, value: str = "value", tz: str = "tz", order: s
     n = F.length(digits)
     num = digits.try_cast("bigint")
     fraction = F.coalesce(F.rpad(F.substring(F.regexp_extract(c, NUMBER, 2), 1, 6), 6, "0").try_cast("bigint"), F.lit(0))
-    bare = F.when(n <= 11, num * 1_000_000 + fraction).when(n <= 14, num * 1000).when(n <= 17, num).otherwise(F.floor(num / 1000).cast("bigint"))
+    bare = F.when(n <= 11, num * 1_000_000 + fraction).when(n <= 14, num * 1000).when(n <= 17, num).otherwise(F.substring(digits, F.lit(1), n - 3).try_cast("bigint"))
     cands = (
         F.when(F.col("_f") == "number", F.when(bare.isNotNull(), F.array(made(F.lit("number"), bare, 0.0))).otherwise(none))
         .when(F.col("_off").isNotNull(), F.transform("_walls", lambda x: made(x["fmt"], x["wall"] - F.col("_off").cast("bigint") * 60_000_000, 0.0)))
