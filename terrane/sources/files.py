@@ -45,7 +45,7 @@ def repositories(spark: SparkSession, roots: Sequence[str], depth: int = 4) -> D
 
 
 def scan(spark: SparkSession, root: str, unit: str, extensions: Sequence[str] | None = None, most_bytes: int = 2_000_000) -> DataFrame:
-    """FILE rows of the text files under ``root``: read in parallel by Spark, pruned of directories without source, decoded with replacement."""
+    """FILE rows of the text files under ``root``: read in parallel by Spark, pruned of directories without source, decoded with replacement. Empty files give no row."""
     ext = tuple(extensions or LANGUAGES)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(ext) + "}").load(root)
     base = "file:" + os.path.abspath(root).rstrip("/") + "/" if "://" not in root else root.rstrip("/") + "/"
