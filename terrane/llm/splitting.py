@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,43 +13,31 @@ from terrane.llm import tokenizer
 
 #: Classes of the place after a token, strongest first: paragraph, line, sentence, word, character; x: inside a character.
 PARAGRAPH, LINE, SENTENCE, WORD, CHAR, INSIDE = "PLSWCx"
-_STOPS, _WIDE_STOPS = ".!?", "。！？｡"
+_STOPS, _WIDE_STOPS = ([ord(c) for c in x] for x in (".!?", "。！？｡"))
+_BLANKS = np.array([i for i in range(0x3001) if chr(i).isspace()], dtype=np.uint32)
 
 
-def classes(text: str, enc) -> tuple[str, list[int]]:
+def classes(text: str, tokens: list[int], sizes: np.ndarray) -> tuple[str, np.ndarray]:
     """One sign per token for the boundary after it, and the character offset at which each token ends.
 
-    A token that ends within a character has that character's start as its end and can't be cut after.
+    A token that ends within a character has that character's start as its end and can't be cut after. ``sizes`` has the
+    bytes of each token id. All in array operations, as long texts have tens of thousands of tokens.
     """
-    sizes = [len(b) for b in enc.decode_tokens_bytes(enc.encode_ordinary(text))]
-    data = text.encode()
-    ascii_ = len(data) == len(text)
-    starts = None if ascii_ else [i for i, b in enumerate(data) if b & 0xC0 != 0x80]
-    signs, ends, at, k = [], [], 0, 0
-    n = len(text)
-    for size in sizes:
-        at += size
-        if ascii_:
-            e = at
-        else:
-            while k < len(starts) and starts[k] < at:
-                k += 1
-            e = k
-            if at < len(data) and data[at] & 0xC0 == 0x80:
-                signs.append(INSIDE)
-                ends.append(e - 1)
-                continue
-        ends.append(e)
-        last, nxt = text[e - 1], text[e] if e < n else ""
-        if last == "\n":
-            signs.append(PARAGRAPH if nxt != "\n" and e > 1 and text[e - 2] == "\n" else LINE)
-        elif last in _WIDE_STOPS or (last in _STOPS and nxt.isspace()):
-            signs.append(SENTENCE)
-        elif nxt.isspace() or last.isspace():
-            signs.append(WORD)
-        else:
-            signs.append(CHAR)
-    return "".join(signs), ends
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    at = np.cumsum(sizes[tokens])
+    begins = np.append((data & 0xC0) != 0x80, True)
+    inside = ~begins[at]
+    ends = np.cumsum(begins[:-1])[at - 1] - inside
+    c = np.append(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), 0)
+    last, nxt = c[ends - 1], c[ends]
+    blank = lambda x: np.isin(x, _BLANKS)
+    end = ends >= len(text)
+    line = last == 10
+    para = line & (nxt != 10) & (ends > 1) & (c[ends - 2] == 10)
+    stop = np.isin(last, _WIDE_STOPS) | (np.isin(last, _STOPS) & blank(nxt) & ~end)
+    word = (blank(nxt) & ~end) | blank(last)
+    signs = np.select([inside, para, line, stop, word], [np.uint8(ord(x)) for x in (INSIDE, PARAGRAPH, LINE, SENTENCE, WORD)], np.uint8(ord(CHAR)))
+    return signs.astype(np.uint8).tobytes().decode(), ends
 
 
 def pattern(most: Column) -> Column:
@@ -86,12 +75,13 @@ def split(
     docs = docs.select("doc_id", "text", most.cast("int").alias("most"), F.greatest(F.least(F.coalesce("rule.over", F.lit(0)), most - 1), F.lit(0)).cast("int").alias("over"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokenizer.load(tokenizer_path)
+        enc, sizes = tokenizer.load(tokenizer_path), tokenizer.sizes(tokenizer_path)
         for b in batches:
             count, signs, ends = [], [], []
             for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                n = len(enc.encode_ordinary(t))
-                s, e = classes(t, enc) if m is not None and n > m else ("", [])
+                got = enc.encode_ordinary(t)
+                n = len(got)
+                s, e = classes(t, got, sizes) if m is not None and n > m else ("", [])
                 count.append(n)
                 signs.append(s)
                 ends.append(e)

@@ -63,6 +63,6 @@ def test_no_default_and_empty_tables(spark):
 
 def test_classes_agree_with_the_text():
     text = "Ab 障害。\n\nx🙂. y"
-    signs, ends = splitting.classes(text, ENC)
+    signs, ends = splitting.classes(text, ENC.encode_ordinary(text), tokenizer.sizes())
     assert len(signs) == len(ends) == len(ENC.encode_ordinary(text)) and ends[-1] == len(text)
     assert all(a <= b for a, b in zip(ends, ends[1:]))
