@@ -128,7 +128,7 @@ def split(
         for b in batches:
             n = b.column(4).to_pylist()
             for i, (t, c) in enumerate(zip(b.column(5).to_pylist(), b.column(6).to_pylist())):
-                if c and t and (t[-1].isspace() or t[0].isspace()):
+                if c and t and (t[-1].isspace() or t[:2].isspace()):  # only runs of white space at a rim may join
                     n[i] = len(enc.encode_ordinary(t))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int32()), b.column(5)], ["doc_id", "piece", "first_char", "last_char", "n_tokens", "text"])
 
