@@ -237,4 +237,4 @@ def curvature(edges: DataFrame) -> DataFrame:
     """(src, dst, kind, idx, n): the place of an edge among those between the same two ends, for drawing them apart."""
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
     w = Window.partitionBy(a, b)
-    return edges.select("src", "dst", "kind", F.row_number().over(w.orderBy("src", "dst", "kind", "evidence")).alias("idx"), F.count("*").over(w).alias("n"))
+    return edges.select("src", "dst", "kind", F.row_number().over(w.orderBy("src", "dst", "kind", "evidence")).cast("bigint").alias("idx"), F.count("*").over(w).alias("n"))

@@ -125,7 +125,7 @@ def top_owners(own: DataFrame, k: int = 5) -> DataFrame:
     """(repo, author, commits, place): the k authors of a repo by commits, ties by name."""
     per = own.groupBy("repo", "author").agg(F.sum("commits").alias("commits"))
     w = Window.partitionBy("repo").orderBy(F.col("commits").desc(), "author")
-    return per.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return per.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
 
 
 def knowledge(own: DataFrame) -> DataFrame:
