@@ -89,7 +89,9 @@ class PairTable:
         version = uuid.uuid4().hex
         out = new.withColumn("bucket", self._bucket(kind))
         out.repartition(min(self.buckets, len(touched)), "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{kind}/{version}")
-        there = {r[0] for r in out.select("bucket").distinct().collect()} if not new.isEmpty() else set()
+        # the folders say which buckets still hold rows; nothing is computed twice
+        _, at = self._file(f"{self.root}/{kind}/{version}")
+        there = {int(f.getPath().getName()[7:]) for f in self._fs.listStatus(at) if f.getPath().getName().startswith("bucket=")}
         for b in touched:
             if b in there:
                 self.at[kind][b] = version
