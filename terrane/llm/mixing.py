@@ -178,7 +178,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None,
         for r in mix_targets.where("source IS NOT NULL").groupBy("source").agg(F.min("weight").alias("weight"), F.min("max_repeats").alias("max_repeats")).orderBy("source").collect()
     ]
     wanted = mix_targets.select("source").distinct()
-    sized = cut(lengths(documents.join(F.broadcast(wanted), "source", "left_semi"), tokenizer_path).groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens")))
+    sized = cut(lengths(documents.join(wanted, "source", "left_semi"), tokenizer_path).groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens")))
     # distinct lengths per source are bounded by the longest document, not by the corpus
     counts: dict[str, dict[int, int]] = {}
     for r in sized.groupBy("source", "n_tokens").agg(F.count("*").alias("n")).toLocalIterator():
