@@ -87,7 +87,7 @@ def changes(rows: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_changes(snapshot: DataFrame, repos: DataFrame, estates: DataFrame, file_metrics: DataFrame | None = None) -> DataFrame:
+def snapshot_changes(snapshot: DataFrame, estates: DataFrame) -> DataFrame:
     """p3_found: changes of services and routes between consecutive snapshots of an estate.
 
     Snapshots are ordered by the instant of taken_at; equal instants by loaded_at, then snapshot_id. A snapshot whose

@@ -18,7 +18,7 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots.snapshot_changes(*(table(spark, sf, t) for t in ("snapshot", "repos", "estates")))
+    return snapshots.snapshot_changes(*(table(spark, sf, t) for t in ("snapshot", "estates")))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

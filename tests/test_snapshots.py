@@ -11,7 +11,7 @@ E = "estate string, tz string, date_order string"
 
 def run(spark, snaps, clash=lambda d: d):
     es = spark.createDataFrame([("e", "Europe/Berlin", "DMY")], E)
-    got = snapshots.snapshot_changes(clash(spark.createDataFrame(snaps, S)), None, clash(es))
+    got = snapshots.snapshot_changes(clash(spark.createDataFrame(snaps, S)), clash(es))
     return rows(got)
 
 
