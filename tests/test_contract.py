@@ -24,7 +24,7 @@ def duck():
 
 
 def plain(x):
-    if x is None or x != x or type(x).__name__ in ("NaTType", "NAType"):
+    if x is None or type(x).__name__ in ("NaTType", "NAType") or x != x:
         return None
     if isinstance(x, float):
         return float(f"{x:.10g}")
