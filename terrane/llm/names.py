@@ -219,7 +219,31 @@ def glued(tokens: list[str], initials: list[str]) -> set[str]:
     return {_umlaut(x) for x in out}
 
 
-PARSED = "name string, kind string, tokens array<string>, initials array<string>, keys array<string>"
+PARSED = (
+    "name string, kind string, tokens array<string>, initials array<string>, word string, glued array<string>, "
+    "spots array<struct<tok: string, own: string, named: array<string>, firsts: array<string>>>"
+)
+
+
+def forms(token: str) -> set[str]:
+    """A token and the full forms it may be a pet name of, the latter marked, as none is typed."""
+    return {token} | {f"={f}" for f in _NICK.get(token, ())}
+
+
+def spots(tokens: list[str]) -> list[tuple]:
+    """(key, token, named, firsts) of each token that is a key; the last two describe the tokens beside it.
+
+    named: what an alike token of the other name has too, but for one typing error (two errors in a long token leave one of
+    its first three signs among the first three of the other). firsts: the initials that can stand for one of them.
+    """
+    out = []
+    for t in sorted({t for t in tokens if len(t) > 3 and t not in TRADES} or set(tokens)):
+        rest = list(tokens)
+        rest.remove(t)
+        named = {x for y in rest for x in forms(y)} | {f"<{c}" for y in rest if len(y) >= 10 for c in y[:3]}
+        firsts = {c for y in rest for c in (y[0], *(f[0] for f in _NICK.get(y, ())))}
+        out.append((t, t, sorted(named), sorted(firsts)))
+    return out
 
 
 def _parsed(names: DataFrame) -> DataFrame:
@@ -228,12 +252,12 @@ def _parsed(names: DataFrame) -> DataFrame:
             rows = []
             for n in pdf["name"]:
                 kind, tokens, initials = parse(n)
-                keys = {t for t in tokens if len(t) > 3 and t not in TRADES}
-                if kind == "person":
-                    keys |= {_umlaut("".join(tokens[i + 1 :])) for i in range(len(tokens) - 1)} | {_umlaut("".join(tokens[:-1]))} - {""}
-                    keys |= {_umlaut("".join(tokens)), _umlaut("".join(tokens[::-1]))}
-                rows.append((n, kind, tokens, initials, sorted(k for k in keys if len(k) > 3) or tokens))
-            yield pd.DataFrame(rows, columns=["name", "kind", "tokens", "initials", "keys"])
+                word, one = None, set()
+                if kind in ("person", "login"):
+                    one = glued(tokens, initials) | {"".join(tokens), "".join(tokens[::-1])}
+                    word = None if initials else "".join(tokens)
+                rows.append((n, kind, tokens, initials, word, sorted(one), spots(tokens) if kind in ("person", "firm") else []))
+            yield pd.DataFrame(rows, columns=["name", "kind", "tokens", "initials", "word", "glued", "spots"])
 
     return names.mapInPandas(run, PARSED)
 
@@ -265,23 +289,45 @@ def links(names: DataFrame) -> DataFrame:
     df = parsed.select(F.explode(F.array_distinct("tokens")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
     weigh = parsed.select("name", F.explode(F.array_distinct("tokens")).alias("tok")).join(df, "tok")
     weights = weigh.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("tok", F.log(1 + F.lit(float(total)) / F.col("df"))))).alias("w"))
-    known = cut(parsed.join(weights, "name").withColumn("keys", F.array_distinct("keys")))
-    # A key that many names share says little alone: it is joined to an initial of the rest, of which there are few per key.
-    keyed = known.select("name", "kind", "tokens", "initials", F.explode("keys").alias("tok"))
-    keys = keyed.groupBy("tok").agg(F.count("*").alias("n"))
-    common = F.col("n") > F.greatest(F.lit(40), F.sqrt(F.lit(float(total))))
-    rare, hot = keys.where(~common).select("tok"), keys.where(common).select("tok")
-    # Hot keys (given names, above all) join only on the pair of hot key and another key, so no block grows with the input.
-    alone = keyed.join(rare, "tok", "left_semi").select("name", "tok")
-    twice = keyed.join(hot, "tok", "left_semi").select("name", F.col("tok").alias("hot")).join(
-        keyed.select("name", F.explode(F.array_distinct(F.concat("initials", F.transform("tokens", lambda t: F.substring(t, 1, 2))))).alias("part")).distinct(), "name"
+    known = cut(parsed.join(weights, "name"))
+    # A word that can be a login meets the names it can be glued from, whatever their keys.
+    words = known.where("word IS NOT NULL").select(F.concat(F.lit("@"), "word").alias("block"), "name")
+    pieces = known.select(F.explode(F.transform("glued", lambda x: F.concat(F.lit("@"), x))).alias("block"), "name")
+    keyed = cut(
+        known.select("name", "initials", "w", F.inline("spots"))
+        .withColumn("weight", F.coalesce(F.try_element_at("w", F.col("own")), F.lit(0.0)))
+        .withColumn("rest", F.aggregate(F.map_values("w"), F.lit(0.0), lambda a, x: a + x) - F.col("weight")).drop("w", "own")
+    )
+    # A key that few names share joins them alone. One that many share says little: it joins those that share something
+    # else too, in any way in which similarity() lets two names agree. Mistyped forms are neighbours of both.
+    keys = cut(keyed.groupBy("tok").agg(F.count("*").alias("n")))
+    heads = keys.select("tok", (F.col("n") > F.greatest(F.lit(40), F.sqrt(F.lit(float(total))))).alias("hot"), F.log(1 + F.lit(float(total)) / F.col("n")).alias("head_weight"))
+    near = cut(similar_tokens(known.where("kind IN ('person', 'firm')").select(F.explode("tokens").alias("tok")).distinct()))
+    native = keyed.join(heads, "tok")
+    heard = keyed.unionByName(keyed.join(near, keyed["tok"] == near["tok_a"]).drop("tok", "tok_a").withColumnRenamed("tok_b", "tok")).join(heads, "tok")
+    mark = lambda m, c: F.transform(c, lambda x: F.concat(F.lit(m), x))
+    block = lambda d, parts: d.select(F.explode(F.transform(parts, lambda x: F.concat_ws("|", "tok", x))).alias("block"), "name")
+    # What is neither equal, mistyped nor an initial may still weigh too little to part two names: x (something light beside the key), 0 (nothing).
+    most = (1 - THRESHOLD) / THRESHOLD
+    light = lambda other: F.col("rest") <= most * (F.col("weight") + other) + 1e-9
+    alone = F.abs("rest") < 1e-9
+    plain_native = F.when(alone, F.array(F.lit("?0"))).when(light(F.lit(math.log(1 + max(total, 1)))), F.array(F.lit("?x"))).otherwise(F.array())
+    plain_heard = F.when(alone, F.array(F.lit("?x"))).when(light(F.col("head_weight")), F.array(F.lit("?x"), F.lit("?0"))).otherwise(F.array())
+    hot_native, hot_heard = native.where("hot"), heard.where("hot")
+    typed = hot_heard.select("tok", "name", F.explode("named").alias("tok_a")).join(near, "tok_a")
+    same = (
+        native.where("NOT hot").select(F.col("tok").alias("block"), "name")
+        .unionByName(block(hot_native, F.concat("named", mark("!", F.col("initials")), mark(".", F.col("firsts")), plain_native)))
+        .unionByName(pieces).distinct()
+    )
+    spread = (
+        heard.where("NOT hot").select(F.col("tok").alias("block"), "name")
+        .unionByName(block(hot_heard, F.concat("named", mark("!", F.col("initials")), mark(".", F.col("initials")), plain_heard)))
+        .unionByName(typed.select(F.concat_ws("|", "tok", "tok_b").alias("block"), "name"))
+        .unionByName(words).distinct()
     )
-    both = twice.where(~F.col("hot").startswith(F.col("part"))).select("name", F.concat_ws("|", "hot", "part").alias("tok"))
-    near = similar_tokens(rare)
-    same = alone.unionByName(both).select("tok", "name").distinct()
-    spread = same.unionByName(same.join(near, same["tok"] == near["tok_a"]).select(F.col("tok_b").alias("tok"), "name")).distinct()
     pairs = (
-        spread.select("tok", F.col("name").alias("name_a")).join(same.select("tok", F.col("name").alias("name_b")), "tok")
+        spread.select("block", F.col("name").alias("name_a")).join(same.select("block", F.col("name").alias("name_b")), "block")
         .select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b")).where("name_a < name_b").distinct()
     )
     side = lambda s: known.select(F.col("name").alias(f"name_{s}"), F.struct("kind", "tokens", "initials", F.map_entries("w").alias("w")).alias(s))

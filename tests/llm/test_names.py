@@ -57,3 +57,35 @@ def test_edges(spark):
 
 def test_osa():
     assert names.osa("lafabatan", "lafabatna") == 1 and names.osa("abc", "abcd") == 1 and names.osa("abcd", "badc") == 2 and names.osa("", "ab") == 2
+
+
+def against_brute_force(spark, vals):
+    import math
+
+    parsed = {v: names.parse(v) for v in set(vals)}
+    got = {(a, b) for a, b, _ in rows(names.links(spark.createDataFrame([(v,) for v in sorted(parsed)], "name string")))}
+    count = defaultdict(int)
+    for p in parsed.values():
+        for t in set(p[1]):
+            count[t] += 1
+    w = {t: math.log(1 + len(parsed) / n) for t, n in count.items()}
+    want = {(a, b) for a in parsed for b in parsed if a < b and names.similarity(parsed[a], parsed[b], w, w)[0] >= names.THRESHOLD}
+    assert got == want
+    return got
+
+
+CROWD = [a + b for a in ("Rake", "Suvi", "Toma", "Liwo", "Nedu") for b in ("rol", "xin", "berd", "gusta", "pemil", "zand", "fyk", "hoven", "quist", "jala")]
+
+
+def test_links_under_a_common_surname(spark):
+    """More than 40 names share it: initials, pet names, logins and mistyped forms are still found."""
+    vals = [f"{g} Mueller" for g in CROWD] + ["Anna Mueller", "A. Mueller", "Mueller, A.", "Hanna Mueller", "Anan Muller", "Bob Mueller", "Robert Mueller", "R. Mueller", "amuller", "mullerb", "A. Mueler", "Anna Mueler", "Ana Mueler"]
+    vals += ["Konstantinos Mueller", "Kontsantinso Mueller", "Anna F. Mueller", "Mueller Software GmbH", "Muller SW", "Mueler Software"]
+    got = against_brute_force(spark, vals)
+    assert {("A. Mueller", "Anna Mueller"), ("Bob Mueller", "Robert Mueller"), ("Anna Mueller", "amuller"), ("A. Mueler", "Anna Mueller")} <= got
+
+
+def test_links_where_the_rest_is_light(spark):
+    """Nearly every name has the same given name, so it cannot part two names that share the other word."""
+    vals = [f"Anna Maria {g}" for g in CROWD] + [f"Anna {g} Mueller" for g in CROWD] + ["Anna Mueller", "Maria Mueller", "Mueller, M.", "Anna Maria Mueller"]
+    against_brute_force(spark, vals)
