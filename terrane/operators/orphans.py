@@ -11,6 +11,9 @@ from terrane.functions.text import strip
 from terrane.session import cut, hot_keys
 
 FOREVER = "9999-12-31 00:00:00"
+#: Kinds of edges whose src is the parent of their dst, which exists only in it: files and their symbols, services and
+#: their routes and tables. An orphaned src leaves the dst orphaned. Edges of all other kinds refer to both ends and pass nothing on.
+CONTAINS = ("defines", "exposes", "defines-table")
 
 
 def validity(nodes: DataFrame, id_col: str = "id", from_col: str = "loaded_at", to_col: str = "deleted_at") -> DataFrame:
@@ -39,6 +42,16 @@ def reference_ends(edges: DataFrame, id_col: str = "id", ends: Sequence[str] = (
     )
 
 
+def _salted(ends: DataFrame, facts: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Both with a column ``part``: ends of hot keys spread over ``salt`` parts, the facts on these keys repeated to match."""
+    hot = hot_keys(ends, "key")
+    if not hot:
+        return ends.withColumn("part", F.lit(0)), facts.withColumn("part", F.lit(0))
+    spread = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64("edge_id", "end_name"), F.lit(salt)).cast("int")).otherwise(0)
+    copies = F.when(F.col("key").isin(hot), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))
+    return ends.withColumn("part", spread), facts.withColumn("part", F.explode(copies))
+
+
 def direct_orphans(edges: DataFrame, nodes: DataFrame, salt: int = 16, **cols) -> DataFrame:
     """Ends for which no record with that id is valid when the edge is loaded: (edge_id, end_name, key, at).
 
@@ -47,14 +60,7 @@ def direct_orphans(edges: DataFrame, nodes: DataFrame, salt: int = 16, **cols) -
     """
     ends = reference_ends(edges, **cols)
     alive = validity(nodes)
-    hot = hot_keys(ends, "key")
-    if hot:
-        spread = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64("edge_id", "end_name"), F.lit(salt)).cast("int")).otherwise(0)
-        ends = ends.withColumn("part", spread)
-        copies = F.when(F.col("key").isin(hot), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))
-        alive = alive.withColumn("part", F.explode(copies))
-    else:
-        ends, alive = ends.withColumn("part", F.lit(0)), alive.withColumn("part", F.lit(0))
+    ends, alive = _salted(ends, alive, salt)
     e, a = ends.alias("e"), alive.alias("a")
     holds = (
         (F.col("e.key") == F.col("a.key"))
@@ -68,14 +74,18 @@ def orphan_cascade(
     edges: DataFrame,
     nodes: DataFrame,
     child_kinds: Sequence[str] = ("defines",),
-    max_depth: int = 32,
+    references: bool = False,
+    salt: int = 16,
 ) -> DataFrame:
     """All orphan ends as (edge_id, end_name, key, at, origin, depth).
 
     Depth 0 (``direct``): no valid record has the id. Then, to a fixpoint: an edge of a containment kind whose src is an
     orphan leaves its dst without a parent, so every containment edge that names that dst as its src is orphaned
     too (``inherited``), and so on down the foreign-key graph. Each round is a semi-join of the containment edges with
-    the newly orphaned ids; rows once found leave by anti-join, so cycles end.
+    the newly orphaned ids, until one finds no rows; rows once found leave by anti-join, so cycles end.
+
+    With ``references``, each end of an edge of any other kind that names a record orphaned so is ``inherited`` too; depth
+    is then that of the containment edges that start at the record. Such an edge orphans nothing else.
 
     Null or blank ends are no references. Rows that differ only in payload, and redeliveries, give one row per
     (edge_id, end_name). Empty tables give an empty result. Extra columns are never read.
@@ -91,8 +101,10 @@ def orphan_cascade(
     done = direct
     seen = direct.where("end_name = 'src'").select("edge_id")
     lost = links.join(seen, "edge_id", "left_semi").select(F.col("dst").alias("id")).distinct()
-    known = lost
-    for depth in range(1, max_depth + 1):
+    known = lost.withColumn("depth", F.lit(1))
+    depth = 0
+    while True:
+        depth += 1
         step = cut(
             links.join(lost, links["src"] == lost["id"], "left_semi")
             .join(seen, "edge_id", "left_anti")
@@ -105,8 +117,17 @@ def orphan_cascade(
         )
         seen = seen.unionByName(step.select("edge_id"))
         lost = step.select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti")
-        known = known.unionByName(lost)
-    return done
+        known = known.unionByName(lost.withColumn("depth", F.lit(depth + 1)))
+        if depth % 8 == 0:  # keeps the plan short on deep chains
+            done, seen, lost, known = cut(done), cut(seen), cut(lost), cut(known)
+    if not references:
+        return done
+    ends, orphaned = _salted(reference_ends(edges.where(~F.coalesce("kind", F.lit("")).isin(*child_kinds))), cut(known).withColumnRenamed("id", "key"), salt)
+    named = (
+        ends.join(orphaned, ["key", "part"]).join(direct, ["edge_id", "end_name"], "left_anti")
+        .groupBy("edge_id", "end_name").agg(F.first("key").alias("key"), F.min("at").alias("at"), F.min("depth").alias("depth"))
+    )
+    return done.unionByName(named.withColumn("origin", F.lit("inherited")))
 
 
 def orphan_report(orphans: DataFrame, table_name: str = "edges") -> DataFrame:

@@ -14,7 +14,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, sf: str) -> DataFrame:
-    return orphans.orphan_report(orphans.orphan_cascade(table(spark, sf, "edges"), table(spark, sf, "nodes")))
+    got = orphans.orphan_cascade(table(spark, sf, "edges"), table(spark, sf, "nodes"), orphans.CONTAINS, references=True)
+    return orphans.orphan_report(got)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -50,3 +50,24 @@ def test_empty(spark):
     e, n = frames(spark, [], [(1, "a", "b", "calls", D(1))])
     report = orphans.orphan_report(orphans.orphan_cascade(e, n))
     assert rows(report.select("end_name", "month", "origin", "n")) == [("dst", "2025-01", "direct", 1), ("src", "2025-01", "direct", 1)]
+
+
+def test_cascade_through_mixed_kinds(spark):
+    nodes = [(x, "x", D(1), None) for x in "frmuvs"]
+    edges = [
+        (1, "gone", "f", "exposes", D(2)), (2, "f", "m", "defines", D(2)), (3, "m", "r", "defines-table", D(2)),
+        (4, "m", "v", "calls", D(2)), (5, "u", "r", "reads-table", D(2)), (6, "v", "u", "calls", D(2)), (7, "m", "lost", "imports", D(2)), (8, "r", "r", None, D(2)),
+    ]
+    e, n = frames(spark, nodes, edges)
+    got = rows(orphans.orphan_cascade(e, n, orphans.CONTAINS, references=True).select("edge_id", "end_name", "origin", "depth"))
+    assert got == sorted([
+        (1, "src", "direct", 0), (7, "dst", "direct", 0), (2, "src", "inherited", 1), (3, "src", "inherited", 2), (4, "src", "inherited", 2),
+        (7, "src", "inherited", 2), (5, "dst", "inherited", 3), (8, "src", "inherited", 3), (8, "dst", "inherited", 3),
+    ], key=repr)
+
+
+def test_cascade_has_no_depth_limit(spark):
+    nodes = [(f"n{k}", "x", D(1), None) for k in range(36)]
+    edges = [(0, "gone", "n0", "defines", D(2))] + [(k, f"n{k - 1}", f"n{k}", "defines", D(2)) for k in range(1, 36)]
+    e, n = frames(spark, nodes, edges)
+    assert sorted(r["depth"] for r in orphans.orphan_cascade(e, n).select("depth").collect()) == list(range(36))
