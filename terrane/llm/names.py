@@ -231,18 +231,18 @@ def forms(token: str) -> set[str]:
 
 
 def spots(tokens: list[str]) -> list[tuple]:
-    """(key, token, named, firsts) of each token that is a key; the last two describe the tokens beside it.
+    """(key, token, named, firsts) of each token, short or long, and of each full form of it; the last two describe the tokens beside it.
 
     named: what an alike token of the other name has too, but for one typing error (two errors in a long token leave one of
     its first three signs among the first three of the other). firsts: the initials that can stand for one of them.
     """
     out = []
-    for t in sorted({t for t in tokens if len(t) > 3 and t not in TRADES} or set(tokens)):
+    for t in sorted({t for t in tokens if t not in TRADES} or set(tokens)):
         rest = list(tokens)
         rest.remove(t)
         named = {x for y in rest for x in forms(y)} | {f"<{c}" for y in rest if len(y) >= 10 for c in y[:3]}
         firsts = {c for y in rest for c in (y[0], *(f[0] for f in _NICK.get(y, ())))}
-        out.append((t, t, sorted(named), sorted(firsts)))
+        out += [(k, t, sorted(named), sorted(firsts)) for k in sorted(forms(t))]
     return out
 
 

@@ -89,3 +89,10 @@ def test_links_where_the_rest_is_light(spark):
     """Nearly every name has the same given name, so it cannot part two names that share the other word."""
     vals = [f"Anna Maria {g}" for g in CROWD] + [f"Anna {g} Mueller" for g in CROWD] + ["Anna Mueller", "Maria Mueller", "Mueller, M.", "Anna Maria Mueller"]
     against_brute_force(spark, vals)
+
+
+def test_links_of_short_surnames(spark):
+    vals = ["Bob Lee", "Robert Lee", "B. Lee", "blee", "Lee, R.", "Li Wu", "L. Wu", "liwu", "Kim Ng", "K. Ng", "kng", "Bob L.", "Robert L.", "Jim Wu", "James Wu"]
+    got = against_brute_force(spark, vals)
+    assert {("Bob Lee", "Robert Lee"), ("B. Lee", "Bob Lee"), ("Bob Lee", "blee"), ("K. Ng", "Kim Ng"), ("Bob L.", "Robert L."), ("James Wu", "Jim Wu")} <= got
+    against_brute_force(spark, vals + [f"{g} Lee" for g in CROWD])  # common and short
