@@ -433,6 +433,17 @@ def pagerank_seeded_k(t):
     return graph.pagerank(graph.adjacency(t.e), graph.seeds_from_terms(t.n, ["ledger"]), iterations=5, tolerance=None).select("id", F.round("rank", 9).alias("rank"))
 
 
+@query()
+def pagerank(t):
+    """Ranks to convergence; pagerank_k compares five steps of the same operator with SQL."""
+    return graph.pagerank(graph.adjacency(t.e)).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query()
+def pagerank_seeded(t):
+    return graph.pagerank(graph.adjacency(t.e), graph.seeds_from_terms(t.n, ["ledger"])).select("id", F.round("rank", 9).alias("rank"))
+
+
 @query(GRAPH + f"SELECT id, CAST({SEEDS} AS DOUBLE) AS weight FROM n WHERE {SEEDS} > 0")
 def seed_terms(t):
     return graph.seeds_from_terms(t.n, ["ledger"])

@@ -149,3 +149,8 @@ def central_code(t):
     return views.central_code(t.e, t.n, ranks).select("id", "name", "kind", "inbound")
 
 
+@query()
+def central_code_converged(t):
+    """Top-k report on converged ranks; central_code takes the five steps of its SQL."""
+    ranks = graph.pagerank(graph.adjacency(t.e)).select("id", F.round("rank", 9).alias("rank"))
+    return views.central_code(t.e, t.n, ranks).select("id", "name", "kind", "inbound")
