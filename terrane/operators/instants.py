@@ -32,9 +32,13 @@ CTIME = rf"^(?:[A-Za-z]{{3,9}},?\s+)?([A-Za-z]{{3,9}})\s+(\d{{1,2}})\s+{TIME}\s+
 NUMBER = r"^(\d{9,19})(?:[.,](\d+))?(?:\s.*)?$"
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 
-#: What a switch of format costs, what a step back in time costs, and what the second pass of a repeated hour costs:
-#: more than any path can gain by it, as TESTDATA.md fixes the first pass.
-SWITCH, BACKWARD, SECOND_PASS = 1.0, 2.0, 1000.0
+#: What a switch of format and what a step back in time cost. One choice touches two steps, so a path gains at most GAIN by it.
+SWITCH, BACKWARD = 1.0, 2.0
+GAIN = 2 * (SWITCH + BACKWARD)
+#: What a reading against a rule costs: the order of day and month a source declares, the first pass of an hour that occurs twice, the
+#: unit told by a number's length. More than GAIN, so where a rule is given it holds; where none is, the path decides.
+AGAINST = 8.0
+UNITS = (1_000_000, 1_000, 1)
 
 
 FIELDS = ("year", "month", "day", "hour", "minute", "second", "fraction", "half", "zone", "bracket")
@@ -73,15 +77,15 @@ def zone_names(spark) -> list[str]:
     return [z for z in spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds().toArray()]
 
 
-def candidates(values: DataFrame, value: str = "value", tz: str = "tz", order: str = "date_order") -> DataFrame:
+def candidates(values: DataFrame, value: str = "value", tz: str = "tz", order: str = "date_order", second_pass: float = AGAINST) -> DataFrame:
     """Adds ``cands``: array of (fmt, utc_us, cost), every valid reading of the text.
 
-    A zone or offset in the text wins, else the source's ``tz`` holds (null or unknown: UTC). Numeric dates are read
-    in the source's ``date_order``; without one, both ways. An hour that occurs twice gives both passes. Null, blank and
-    impossible values give an empty array. Each text is matched once; the parts are taken from the one match.
+    A zone or offset in the text wins, else the source's ``tz`` holds (null or unknown: UTC). Numeric dates are read in
+    both orders, the one against the source's ``date_order`` at a cost; without one, both are free. An hour that occurs twice gives
+    both passes, a bare number one reading per unit. Null, blank and impossible values give an empty array. Each text is
+    matched once; the parts are taken from the one match.
     """
-    names = sorted(zone_names(values.sparkSession))
-    zones = F.array(*map(F.lit, names))
+    known = ", ".join(f"'{z}'" for z in sorted(zone_names(values.sparkSession)))  # becomes a hash set
     v = F.regexp_replace(F.translate(strip(value), "\u2212\u2010\u2011\u2012\u2013\u00a0\u202f\u2009", "-----   "), r"\s+", " ")
     c = F.col("_v")
     family = F.lit(None).cast("string")
@@ -107,40 +111,48 @@ def candidates(values: DataFrame, value: str = "value", tz: str = "tz", order: s
         "_y": year, "_m": _month(g["month"]), "_d": g["day"].cast("int"), "_t": of_day, "_off": _offset(g["zone"]),
         "_named": F.coalesce(g["bracket"], g["zone"]), "_has": g["zone"].isNotNull(),
     })
-    given = F.array_contains(zones, F.col("_named"))
-    local = F.when(F.array_contains(zones, F.col(tz)), F.col(tz)).otherwise(F.lit("UTC"))
+    given = F.expr(f"_named IN ({known})")
+    local = F.when(F.expr(f"`{tz}` IN ({known})"), F.col(tz)).otherwise(F.lit("UTC"))
     out = out.withColumn("_zone", F.when(given, F.col("_named")).when(~F.col("_has"), local))
-    reads = F.when(
-        F.col("_f") == "numeric",
-        F.array_compact(F.array(
-            F.when(F.coalesce(F.col(order), F.lit("DMY")) != "MDY", F.struct(F.lit("dmy").alias("fmt"), _days(F.col("_y"), F.col("_m"), F.col("_d")).alias("day"))),
-            F.when(F.coalesce(F.col(order), F.lit("MDY")) == "MDY", F.struct(F.lit("mdy").alias("fmt"), _days(F.col("_y"), F.col("_d"), F.col("_m")).alias("day"))),
-        )),
-    ).when(F.col("_p").isNotNull(), F.array(F.struct(F.col("_f").alias("fmt"), _days(F.col("_y"), F.col("_m"), F.col("_d")).alias("day"))))
-    walls = F.filter(F.transform(reads, lambda x: F.struct(x["fmt"].alias("fmt"), (F.unix_micros(x["day"].cast("timestamp")) + F.col("_t")).alias("wall"))), lambda x: x["wall"].isNotNull())
+    against = lambda this: F.when(F.col(order).isNull() | (F.trim(order) == ""), 0.0).when((F.col(order) == "MDY") == F.lit(this == "mdy"), 0.0).otherwise(AGAINST)
+    reads = F.when(F.col("_f") == "numeric", F.array(
+        F.struct(F.lit("dmy").alias("fmt"), _days(F.col("_y"), F.col("_m"), F.col("_d")).alias("day"), against("dmy").alias("cost")),
+        F.struct(F.lit("mdy").alias("fmt"), _days(F.col("_y"), F.col("_d"), F.col("_m")).alias("day"), against("mdy").alias("cost")),
+    )).when(F.col("_p").isNotNull(), F.array(F.struct(F.col("_f").alias("fmt"), _days(F.col("_y"), F.col("_m"), F.col("_d")).alias("day"), F.lit(0.0).alias("cost"))))
+    walls = F.filter(F.transform(reads, lambda x: F.struct(x["fmt"].alias("fmt"), (F.unix_micros(x["day"].cast("timestamp")) + F.col("_t")).alias("wall"), x["cost"].alias("cost"))), lambda x: x["wall"].isNotNull())
     out = out.withColumn("_walls", F.coalesce(walls, F.array()))
     none = F.array().cast("array<struct<fmt:string,utc_us:bigint,cost:double>>")
-    made = lambda fmt, us, cost: F.struct(fmt.alias("fmt"), us.alias("utc_us"), F.lit(cost).alias("cost"))
+    made = lambda fmt, us, cost: F.struct(fmt.alias("fmt"), us.alias("utc_us"), cost.alias("cost"))
     utc = lambda x: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(x), F.col("_zone")))
     back = lambda x: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(x), F.col("_zone")))
-    zoned = F.transform("_walls", lambda x: F.struct(x["fmt"].alias("fmt"), x["wall"].alias("wall"), utc(x["wall"]).alias("first")))
+    zoned = F.transform("_walls", lambda x: F.struct(x["fmt"].alias("fmt"), x["wall"].alias("wall"), utc(x["wall"]).alias("first"), x["cost"].alias("cost")))
     both = F.flatten(F.transform(zoned, lambda x: F.when(
         back(x["first"] + 3_600_000_000) == x["wall"],
-        F.array(made(x["fmt"], x["first"], 0.0), made(x["fmt"], x["first"] + 3_600_000_000, SECOND_PASS)),
-    ).otherwise(F.array(made(x["fmt"], x["first"], 0.0)))))
+        F.array(made(x["fmt"], x["first"], x["cost"]), made(x["fmt"], x["first"] + 3_600_000_000, x["cost"] + second_pass)),
+    ).otherwise(F.array(made(x["fmt"], x["first"], x["cost"])))))
     digits = F.regexp_extract(c, NUMBER, 1)
     n = F.length(digits)
     num = digits.try_cast("bigint")
     fraction = F.coalesce(F.rpad(F.substring(F.regexp_extract(c, NUMBER, 2), 1, 6), 6, "0").try_cast("bigint"), F.lit(0))
-    bare = F.when(n <= 11, num * 1_000_000 + fraction).when(n <= 14, num * 1000).when(n <= 17, num).otherwise(F.substring(digits, F.lit(1), n - 3).try_cast("bigint"))
+    told = F.when(n <= 11, 0).when(n <= 14, 1).when(n <= 17, 2).otherwise(3)
+    fee = lambda k: F.when(told == k, 0.0).otherwise(AGAINST)
+    # seconds and milliseconds of too many digits are beyond the calendar
+    spans = [made(F.lit("number"), F.when(n <= most, num * unit + (fraction if unit == UNITS[0] else 0)), fee(k)) for k, (unit, most) in enumerate(zip(UNITS, (11, 14, 17)))]
+    spans.append(made(F.lit("number"), F.when(n > 3, F.substring(digits, F.lit(1), n - 3).try_cast("bigint")), fee(3)))
     cands = (
-        F.when(F.col("_f") == "number", F.when(bare.isNotNull(), F.array(made(F.lit("number"), bare, 0.0))).otherwise(none))
-        .when(F.col("_off").isNotNull(), F.transform("_walls", lambda x: made(x["fmt"], x["wall"] - F.col("_off").cast("bigint") * 60_000_000, 0.0)))
+        F.when(F.col("_f") == "number", F.filter(F.array(*spans), lambda x: x["utc_us"].isNotNull()))
+        .when(F.col("_off").isNotNull(), F.transform("_walls", lambda x: made(x["fmt"], x["wall"] - F.col("_off").cast("bigint") * 60_000_000, x["cost"])))
         .when(F.col("_zone").isNotNull(), both)
         .otherwise(none)
     )
     keep = [*values.columns, "cands"]
-    return out.withColumn("cands", F.array_distinct(F.coalesce(cands, none))).select(*keep)
+    return out.withColumn("cands", F.coalesce(cands, none)).select(*keep)
+
+
+def hopeful(cands: Column) -> Column:
+    """The readings that some path may choose: one dearer than the cheapest by more than GAIN never pays. Exact, whatever the neighbours."""
+    least = F.array_min(F.transform(cands, lambda x: x["cost"]))
+    return F.filter(cands, lambda x: x["cost"] <= least + GAIN)
 
 
 # Viterbi. The state of a record is its chosen candidate. Blocks are sorted range partitions; a block's (min, +) matrix from
@@ -185,15 +197,16 @@ def _matrix(rows: list[list]) -> np.ndarray:
     return m
 
 
-def _pick(source: pd.Series, cands: pd.Series, ends: dict) -> np.ndarray:
-    """Index of the choice per row of a sorted block; ends: source -> (start, end) forced by the neighbours."""
-    n = cands.map(len).to_numpy()
-    pick = np.zeros(len(n), dtype=int)
-    many = np.flatnonzero(n > 1)
-    if not len(many):
-        return pick
-    s = source.to_numpy()
-    k = 0
+def _cell(pdf: pd.DataFrame, i: int) -> list:
+    """The readings of a row: the several ones, or the single one kept in plain columns."""
+    more = pdf["more"].iat[i]
+    return list(more) if more is not None else [{"fmt": pdf["fmt"].iat[i], "utc_us": int(pdf["utc_us"].iat[i]), "cost": 0.0}]
+
+
+def _pick(source: np.ndarray, many: np.ndarray, cell, ends: dict) -> dict[int, int]:
+    """Index of the choice for the rows of a sorted block that have several readings; ends: source -> (start, end) forced by the neighbours."""
+    pick: dict[int, int] = {}
+    s, k = source, 0
     while k < len(many):  # a run of ambiguous records and the record on either side
         a = b = many[k]
         while k + 1 < len(many) and many[k + 1] == b + 1 and s[many[k + 1]] == s[a]:
@@ -201,15 +214,18 @@ def _pick(source: pd.Series, cands: pd.Series, ends: dict) -> np.ndarray:
             b = many[k]
         k += 1
         lo = a - 1 if a and s[a - 1] == s[a] else a
-        hi = b + 1 if b + 1 < len(s) and s[b + 1] == s[a] else b
-        first, last = lo == a and (a == 0 or s[a - 1] != s[a]), hi == b and (b + 1 == len(s) or s[b + 1] != s[a])
+        hi = b + 1 if b + 1 < len(s) and s[b + 1] == s[b] else b
+        first, last = lo == a and (a == 0 or s[a - 1] != s[a]), hi == b and (b + 1 == len(s) or s[b + 1] != s[b])
         start, end = ends.get(s[a], (None, None))
-        pick[lo : hi + 1] = _path(list(cands.iloc[lo : hi + 1]), start if first else None, end if last else None)
+        got = _path([cell(i) for i in range(lo, hi + 1)], start if first else None, end if last else None)
+        pick.update(zip(range(a, b + 1), got[a - lo :]))
     return pick
 
 
-def choose(values: DataFrame, source: str, order: str, keep: list[str], value: str = "value", tz: str = "tz", date_order: str = "date_order") -> DataFrame:
-    """One instant per record with any reading: ``keep`` plus utc_us, by Viterbi along ``order`` within ``source``.
+def choose(
+    values: DataFrame, source: str, order: str, keep: list[str], value: str = "value", tz: str = "tz", date_order: str = "date_order", second_pass: float = AGAINST
+) -> DataFrame:
+    """One instant per record with any reading: ``keep`` plus utc_us and cost (of the reading), by Viterbi along ``order`` within ``source``.
 
     ``source`` and ``order`` must be non-null; records of equal order are taken by ``keep``. Records without a
     reading do not take part. Empty input gives an empty result.
@@ -217,39 +233,46 @@ def choose(values: DataFrame, source: str, order: str, keep: list[str], value: s
     rows = values.select(*dict.fromkeys([source, order, *keep, value, tz, date_order]))
     # Texts are sorted before they are read, so that the readings are made once, in place, and never shuffled.
     placed = rows.repartitionByRange(source, order, *keep).sortWithinPartitions(source, order, *keep)
-    read = candidates(placed, value, tz, date_order).withColumn("block", F.spark_partition_id())
-    blocks = cut(read.select(*dict.fromkeys([source, order, *keep]), "cands", "block")).where(F.size("cands") > 0)
+    read = candidates(placed, value, tz, date_order, second_pass).withColumn("cands", hopeful(F.col("cands")))
+    one = F.try_element_at("cands", F.lit(1))
+    # a single reading travels in plain columns; the filter stands after the cut, or it would be pushed below and read each text again
+    blocks = cut(read.select(
+        *dict.fromkeys([source, order, *keep]), one["fmt"].alias("fmt"), one["utc_us"].alias("utc_us"), one["cost"].alias("cost"),
+        F.when(F.size("cands") > 1, F.col("cands")).alias("more"), F.spark_partition_id().alias("block"),
+    )).where("utc_us IS NOT NULL")
     cell = "fmt string, utc_us bigint, cost double"
 
     def summaries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: dict = {}
         for pdf in parts:
-            for src, g in pdf.groupby(source, sort=False):
-                rows = list(g["cands"])
+            s = pdf[source].to_numpy()
+            edge = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else []
+            many = pdf["more"].notna().to_numpy()
+            for lo, hi in zip(edge, [*edge[1:], len(s)]):
+                src, at = s[lo], lo
                 if src not in got:
-                    got[src] = [int(g["block"].iloc[0]), rows[0], rows[0], _matrix(rows[:1])]
-                else:
-                    rows = [got[src][2], *rows]
+                    first = _cell(pdf, lo)
+                    got[src] = [int(pdf["block"].iat[lo]), first, first, _matrix([first])]
+                    at = lo + 1
                 x = got[src]
-                if len(rows) > 1:
-                    n = np.array([len(r) for r in rows])
-                    cutat = np.flatnonzero(n == 1)
-                    # only the ambiguous head and tail matter once a single reading is met; the middle decouples
-                    m = _matrix(rows if not len(cutat) else rows[: cutat[0] + 1])
-                    if len(cutat):
-                        tail = _matrix(rows[cutat[-1] :])
-                        m = (m.min(axis=1, keepdims=True) + tail.min(axis=0, keepdims=True))
-                    x[3] = (x[3][:, :, None] + m[None]).min(axis=1)
-                    x[2] = rows[-1]
-            keys = list(got)
-            for src in keys[1:-1]:  # a source inside the block needs no neighbour
+                if at == hi:
+                    continue
+                sure = at + np.flatnonzero(~many[at:hi])
+                # only the ambiguous head and tail matter once a single reading is met; the middle decouples
+                head = range(at, (sure[0] if len(sure) else hi - 1) + 1)
+                m = _matrix([x[2], *(_cell(pdf, i) for i in head)])
+                if len(sure):
+                    m = m.min(axis=1, keepdims=True) + _matrix([_cell(pdf, i) for i in range(sure[-1], hi)]).min(axis=0, keepdims=True)
+                x[3] = (x[3][:, :, None] + m[None]).min(axis=1)
+                x[2] = _cell(pdf, hi - 1)
+            for src in list(got)[1:-1]:  # a source inside the block needs no neighbour
                 del got[src]
         yield pd.DataFrame(
             [(s, b, list(f), list(last), m.ravel().tolist()) for s, (b, f, last, m) in got.items()], columns=["source", "block", "first", "last", "m"]
         )
 
     # At most two sources per block reach over its rim, so this table has at most two rows per partition.
-    rims = blocks.mapInPandas(
+    rims = blocks.select(F.col(source), "fmt", "utc_us", "more", "block").mapInPandas(
         summaries, f"source string, block int, first array<struct<{cell}>>, last array<struct<{cell}>>, m array<double>"
     )
 
@@ -259,7 +282,7 @@ def choose(values: DataFrame, source: str, order: str, keep: list[str], value: s
         if len(rows) == 1:
             return pd.DataFrame([], columns=["source", "block", "start", "end"])
         cost, back = np.array([c["cost"] for c in rows[0]["first"]]), []
-        states: list[tuple[int, np.ndarray]] = []
+        states: list[np.ndarray] = []
         for i, r in enumerate(rows):
             m = np.array(r["m"]).reshape(len(r["first"]), len(r["last"]))
             if i:
@@ -267,12 +290,12 @@ def choose(values: DataFrame, source: str, order: str, keep: list[str], value: s
                 back.append(t.argmin(axis=0))
                 cost = t.min(axis=0)
             t = cost[:, None] + m
-            states.append((0, t.argmin(axis=0)))
+            states.append(t.argmin(axis=0))
             cost = t.min(axis=0)
         end = int(cost.argmin())
         out = []
         for i in range(len(rows) - 1, -1, -1):
-            start = int(states[i][1][end])
+            start = int(states[i][end])
             out.append((rows[i]["source"], rows[i]["block"], start, end))
             if i:
                 end = int(back[i - 1][start])
@@ -287,53 +310,77 @@ def choose(values: DataFrame, source: str, order: str, keep: list[str], value: s
     names = [f.name for f in fields]
 
     def decide(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None  # an ambiguous run may go on in the next batch
+        held: list[pd.DataFrame] = []  # an ambiguous run, with the certain record before it, may go on in the next batch
         for pdf in parts:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            n = pdf["cands"].map(len).to_numpy()
-            # hold back the tail from the last record that is certain, so that a run is never cut between batches
-            sure = np.flatnonzero(n == 1)
-            stop = sure[-1] if len(sure) else 0
-            head, carry = pdf.iloc[: stop + 1], pdf.iloc[stop:]
-            if len(head) > 1 or (len(sure) and stop == 0 and len(pdf) > 1):
-                yield emit(head, drop_last=True)
-        if carry is not None and len(carry):
-            yield emit(carry, drop_last=False)
+            sure = np.flatnonzero(pdf["more"].isna().to_numpy())
+            if not len(sure):
+                held.append(pdf)
+                continue
+            stop = sure[-1]
+            yield emit(pd.concat([*held, pdf.iloc[: stop + 1]], ignore_index=True) if held else pdf.iloc[: stop + 1].reset_index(drop=True), drop_last=True)
+            held = [pdf.iloc[stop:]]
+        if held:
+            yield emit(pd.concat(held, ignore_index=True), drop_last=False)
 
     def emit(pdf: pd.DataFrame, drop_last: bool) -> pd.DataFrame:
-        pick = _pick(pdf[source], pdf["cands"], shared.value.get(int(pdf["block"].iloc[0]), {}))
-        if drop_last:
-            pdf, pick = pdf.iloc[:-1], pick[:-1]
-        out = pdf[names].copy()
-        out["utc_us"] = [c[k]["utc_us"] for c, k in zip(pdf["cands"], pick)]
-        return out
+        many = np.flatnonzero(pdf["more"].notna().to_numpy())
+        out = pdf[[*names, "utc_us", "cost"]]
+        if len(many):
+            out = out.copy()
+            ends_here = shared.value.get(int(pdf["block"].iat[0]), {})
+            for i, k in _pick(pdf[source].to_numpy(), many, lambda i: _cell(pdf, i), ends_here).items():
+                out.iat[i, len(names)], out.iat[i, len(names) + 1] = pdf["more"].iat[i][k]["utc_us"], pdf["more"].iat[i][k]["cost"]
+        return out.iloc[:-1] if drop_last else out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", utc_us bigint"
-    return blocks.select(*names, *([source] if source not in names else []), "cands", "block").mapInPandas(decide, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", utc_us bigint, cost double"
+    return blocks.select(*names, *([source] if source not in names else []), "fmt", "utc_us", "cost", "more", "block").mapInPandas(decide, schema)
 
 
 def instants_of_tables(file_metrics: DataFrame, snapshot: DataFrame, repos: DataFrame, estates: DataFrame) -> DataFrame:
     """(table_name, row_id, field, value, utc_us) of file_metrics.first_change, last_change and snapshot.taken_at.
 
-    The source of a value is its repo or estate and column; its record order is the row id. Exact redeliveries
-    count once. A repo or estate that is not listed gives UTC and no date order.
+    The source of a value is its repo or estate and column. Snapshots are taken in the order they were loaded; files have but their
+    row ids. Exact redeliveries count once, a snapshot's at their first load. A repo or estate that is not listed gives UTC and no date
+    order. A value whose only readings are against the declared order denotes no instant.
     """
     zone = lambda t, k: t.groupBy(k).agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order"))
     fields = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("first_change", "last_change")]
     fm = (
         file_metrics.select(F.lit("file_metrics").alias("table_name"), F.col("metric_id").alias("row_id"), F.col("repo").alias("owner"), F.inline(F.array(*fields)))
-        .distinct()
+        .distinct().withColumn("at", F.col("row_id"))
         .join(zone(repos, "repo").withColumnRenamed("repo", "owner"), "owner", "left")
     )
-    sn = (
-        snapshot.select(F.lit("snapshot").alias("table_name"), F.col("snapshot_id").alias("row_id"), F.col("estate").alias("owner"), F.lit("taken_at").alias("field"), F.col("taken_at").alias("value"))
-        .distinct()
-        .join(zone(estates, "estate").withColumnRenamed("estate", "owner"), "owner", "left")
-    )
+    sn = snapshot_values(snapshot).join(zone(estates, "estate").withColumnRenamed("estate", "owner"), "owner", "left")
     rows = fm.unionByName(sn).where("value IS NOT NULL AND row_id IS NOT NULL")
     rows = rows.withColumn("source", F.concat_ws("|", "table_name", "field", F.coalesce("owner", F.lit(""))))
-    return choose(rows, "source", "row_id", ["table_name", "row_id", "field", "value"])
+    return choose(rows, "source", "at", ["table_name", "row_id", "field", "value"]).where(F.col("cost") < AGAINST)
+
+
+def loaded(col: str = "loaded_at") -> Column:
+    """A load time as a number to sort by; unknown ones come first."""
+    return F.coalesce(F.unix_micros(F.col(col).cast("timestamp")), F.lit(0))
+
+
+def snapshot_values(snapshot: DataFrame) -> DataFrame:
+    """(table_name, row_id, owner, field, value, at): taken_at of each snapshot once, at its first load."""
+    one = snapshot.groupBy("snapshot_id", "estate", "taken_at").agg(F.min(loaded()).alias("at"))
+    return one.select(F.lit("snapshot").alias("table_name"), F.col("snapshot_id").alias("row_id"), F.col("estate").alias("owner"), F.lit("taken_at").alias("field"), F.col("taken_at").alias("value"), "at")
+
+
+def undeclared(snapshot: DataFrame, estates: DataFrame) -> DataFrame:
+    """(estate, values, ambiguous, agree): taken_at read as if no estate declared an order of day and month.
+
+    ambiguous: values that the declared order and the other read differently; agree: those of them that the path along the loads reads
+    as declared. A check of the path, not a source of instants.
+    """
+    tz = estates.groupBy("estate").agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order")).withColumnRenamed("estate", "owner")
+    rows = snapshot_values(snapshot).where("owner IS NOT NULL AND value IS NOT NULL AND row_id IS NOT NULL").join(tz, "owner", "left").withColumn("none", F.lit(None).cast("string"))
+    free = cut(choose(rows, "owner", "at", ["owner", "row_id", "value", "tz", "date_order"], date_order="none"))
+    held = candidates(free.withColumnRenamed("cost", "_paid")).withColumn("one", F.filter("cands", lambda x: x["cost"] < AGAINST)[0]["utc_us"])
+    split = F.coalesce(F.exists("cands", lambda x: (x["cost"] >= AGAINST) & x["fmt"].isin("dmy", "mdy") & (x["utc_us"] != F.col("one"))), F.lit(False))
+    return held.groupBy(F.col("owner").alias("estate")).agg(
+        F.count("*").alias("values"), F.count_if(split).alias("ambiguous"), F.count_if(split & (F.col("utc_us") == F.col("one"))).alias("agree")
+    )
 
 
 def found(file_metrics: DataFrame, snapshot: DataFrame, repos: DataFrame, estates: DataFrame) -> DataFrame:

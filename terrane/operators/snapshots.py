@@ -1,4 +1,8 @@
-"""What changed between full snapshots: content-defined chunks of key-sorted snapshots, digests first, rows after."""
+"""What changed between full snapshots: content-defined chunks of key-sorted snapshots, digests first, rows after.
+
+A snapshot is parsed, sorted and chunked inside its own row, so nothing but chunk digests is shuffled to find the chunks that differ;
+then the rows of those chunks alone are read again and joined.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,14 @@ from pyspark.sql import functions as F
 
 from terrane.functions.text import strip
 from terrane.operators import instants
+from terrane.session import cut
 
 #: A key whose hash has this many zero bits starts a chunk, so a chunk has 16 keys on average wherever it lies.
 CHUNK_MASK = 15
+#: So many rows of (record, digest), some 100 bytes each, may be broadcast; more of them meet the chunks by a shuffle.
+MOST_SENT = 200_000
+KINDS = ("service", "route")
+ID = ["estate", "snapshot_id", "record_type"]
 
 
 def route_key(path: Column) -> Column:
@@ -18,73 +27,81 @@ def route_key(path: Column) -> Column:
     return F.regexp_replace(p, r"/+$", "")
 
 
-def _entries(body: DataFrame, kind: str) -> DataFrame:
-    """(estate, snapshot_id, record_type, entries): the sorted (key, val) of each snapshot that has the array.
-
-    val is the sorted set of methods, empty for services. A delivered array without any readable entry gives an empty one.
-    """
-    shape = r"^(\S+)\s+(\S+)\s+(\S.*)$"
-    col = "services" if kind == "service" else "routes"
-    ids = ["estate", "snapshot_id"]
-    rows = body.where(F.col(col).isNotNull()).select(*ids, F.explode_outer(col).alias("r")).withColumn("r", strip("r"))
+def _entries(kind: str) -> Column:
+    """The sorted (key, val) of a snapshot's array; val is the sorted set of methods, empty for services. Null for a null array."""
     if kind == "service":
-        key, val = F.col("r"), F.lit("")
-    else:
-        key = F.when(F.col("r").rlike(shape), F.concat_ws(" ", F.regexp_extract("r", shape, 1), route_key(F.regexp_extract("r", shape, 3))))
-        val = F.upper(F.regexp_extract("r", shape, 2))
-    keyed = rows.select(*ids, F.when(key != "", key).alias("key"), val.alias("val"))
-    one = keyed.groupBy(*ids, "key").agg(F.concat_ws(",", F.array_sort(F.collect_set("val"))).alias("val"))
-    there = F.when(F.col("key").isNotNull(), F.struct("key", "val"))
-    return one.groupBy(*ids).agg(F.array_sort(F.collect_list(there)).alias("entries")).select(*ids, F.lit(kind).alias("record_type"), "entries")
+        names = F.array_sort(F.array_distinct(F.filter(F.transform("services", strip), lambda r: r != "")))
+        return F.transform(names, lambda r: F.struct(r.alias("key"), F.lit("").alias("val")))
+    shape = r"^(\S+)\s+(\S+)\s+(\S.*)$"
+    read = F.transform(F.filter(F.transform("routes", strip), lambda r: r.rlike(shape)), lambda r: F.struct(
+        F.concat_ws(" ", F.regexp_extract(r, shape, 1), route_key(F.regexp_extract(r, shape, 3))).alias("key"), F.upper(F.regexp_extract(r, shape, 2)).alias("val")
+    ))
+    return F.array_sort(F.array_distinct(read))
 
 
-def chunks(snaps: DataFrame, entries: str = "entries") -> DataFrame:
-    """Cuts each snapshot's sorted entries at content-defined keys: columns of ``snaps`` plus chunk, digest, items.
+def _grouped(e: Column) -> Column:
+    """Sorted distinct (key, val) with the vals of a key joined, by slices between the places where the key changes."""
+    starts = F.when(F.size(e) > 0, F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (F.element_at(e, i + 1)["key"] != F.element_at(e, F.greatest(i, F.lit(1)))["key"]))).otherwise(F.array().cast("array<int>"))
+    return starts, lambda s: F.transform(s, lambda x, i: F.struct(
+        F.element_at(e, x + 1)["key"].alias("key"),
+        F.array_join(F.transform(F.slice(e, x + 1, F.coalesce(F.try_element_at(s, i + 2), F.size(e)) - x), lambda y: y["val"]), ",").alias("val"),
+    ))
+
+
+def entries(snapshot: DataFrame) -> DataFrame:
+    """(estate, snapshot_id, record_type, loaded_at, entries): one row per delivered array, in place."""
+    made = snapshot.where("estate IS NOT NULL").select("estate", "snapshot_id", "loaded_at", _entries("service").alias("_s"), _entries("route").alias("_r"))
+    starts, join = _grouped(F.col("_r"))
+    made = made.withColumn("_at", F.when(F.col("_r").isNotNull(), starts)).withColumn("_g", F.when(F.col("_r").isNotNull(), join(F.col("_at"))))
+    both = F.array(F.struct(F.lit("service").alias("record_type"), F.col("_s").alias("entries")), F.struct(F.lit("route").alias("record_type"), F.col("_g").alias("entries")))
+    return made.select("estate", "snapshot_id", "loaded_at", F.inline(both)).where("entries IS NOT NULL")
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``entries`` replaced by chunks: array of (digest, items).
 
     A chunk starts at the first entry and at every key whose hash ends in zeros, so an insertion moves no other cut.
-    Null entries (not delivered) give no chunk, an empty array gives none either.
     """
-    rest = [c for c in snaps.columns if c != entries]
-    e = F.col(entries)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(e) - 1),
-        lambda i: (i == 0) | (F.xxhash64(F.element_at(e, i + 1)["key"]).bitwiseAND(F.lit(CHUNK_MASK)) == 0),
-    )
-    out = snaps.where(F.size(entries) > 0).withColumn("_s", starts)
-    return (
-        out.select(*rest, entries, "_s", F.posexplode("_s").alias("_i", "_from"))
-        .withColumn("_to", F.coalesce(F.try_element_at("_s", F.col("_i") + 2), F.size(entries)))
-        .withColumn("items", F.slice(entries, F.col("_from") + 1, F.col("_to") - F.col("_from")))
-        .select(*rest, F.col("items")[0]["key"].alias("chunk"), F.sha2(F.to_json("items"), 256).alias("digest"), "items")
-    )
+    e = F.col("entries")
+    starts = F.when(F.size(e) > 0, F.filter(
+        F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (F.xxhash64(F.element_at(e, i + 1)["key"]).bitwiseAND(F.lit(CHUNK_MASK)) == 0)
+    )).otherwise(F.array().cast("array<int>"))
+    items = F.transform("_from", lambda s, i: F.slice(e, s + 1, F.coalesce(F.try_element_at("_from", i + 2), F.size(e)) - s))
+    out = rows.withColumn("_from", starts).withColumn("_items", items)
+    made = F.transform("_items", lambda x: F.struct(F.substring(F.sha2(F.to_json(x), 256), 1, 32).alias("digest"), x.alias("items")))
+    return out.withColumn("chunks", made).drop("_from", "_items", "entries")
+
+
+def ranked(rows: DataFrame, part: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``rank`` from 1 within ``part`` by ``order``, a hot part being numbered by many tasks.
+
+    Range partitions are sorted and numbered each for itself; the counts of a part in the partitions before are added. These
+    counts are at most two rows a partition beyond one row a part.
+    """
+    keys = [*part, *order]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    local = cut(placed.withColumn("_pid", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    per = local.groupBy(*part, "_pid").agg(F.count("*").alias("_n"), F.min("_i").alias("_least"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = per.withColumn("_before", before).drop("_n")
+    return local.join(shift, [*part, "_pid"]).withColumn("rank", F.col("_i") - F.col("_least") + F.col("_before") + 1).drop("_pid", "_i", "_least", "_before")
 
 
-def changes(rows: DataFrame) -> DataFrame:
-    """(estate, snapshot_id, record_type, record_key, change_type) from (estate, record_type, snapshot_id, rank, entries).
+def differing(skeleton: DataFrame) -> DataFrame:
+    """(estate, snapshot_id, record_type, loaded_at, digest, side, later) of the chunks of neighbouring snapshots that the other has not.
 
-    rank numbers the delivered snapshots of an estate and record type from 1. Step one compares chunk digests of
-    neighbouring ranks and drops those on both sides; step two joins only the rows of unmatched chunks.
+    skeleton is (estate, snapshot_id, record_type, loaded_at, rank, digests). side is 1 for the later snapshot, -1 for the earlier;
+    ``later`` is the later one's snapshot_id. Only digests meet here, no records.
     """
     part = ["estate", "record_type"]
-    ranked = rows.select(*part, "rank", "entries")
-    known = rows.select(*part, "rank", "snapshot_id")  # a few bytes per snapshot
-    made = chunks(ranked)
-    both = made.select(*part, "digest", "items", F.explode(F.array(F.struct(F.col("rank").alias("rank"), F.lit(1).alias("side")), F.struct((F.col("rank") + 1).alias("rank"), F.lit(-1).alias("side")))).alias("_x")).select(*part, F.col("_x.rank").alias("rank"), F.col("_x.side").alias("side"), "digest", "items")
-    rest = (
-        both.groupBy(*part, "rank", "digest")
-        .agg(F.sum("side").alias("balance"), F.first("items").alias("items"))
-        .where("balance <> 0 AND rank > 1")
-    )
-    keyed = rest.select(*part, "rank", "balance", F.inline("items")).groupBy(*part, "rank", "key").agg(
-        F.max(F.when(F.col("balance") > 0, F.col("val"))).alias("new"), F.max(F.when(F.col("balance") < 0, F.col("val"))).alias("old")
-    )
-    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("new") != F.col("old"), "changed")
-    return (
-        keyed.withColumn("change_type", kind)
-        .where("change_type IS NOT NULL")
-        .join(known, [*part, "rank"])
-        .select("estate", "snapshot_id", "record_type", F.col("key").alias("record_key"), "change_type")
-    )
+    a = skeleton.select(*part, "rank", F.col("snapshot_id").alias("later"), F.col("loaded_at").alias("a_at"), F.col("digests").alias("a"))
+    b = skeleton.select(*part, (F.col("rank") + 1).alias("rank"), F.col("snapshot_id").alias("earlier"), F.col("loaded_at").alias("b_at"), F.col("digests").alias("b"))
+    met = a.join(b, [*part, "rank"])
+    sides = F.array(
+        F.struct(F.col("later").alias("snapshot_id"), F.col("a_at").alias("loaded_at"), F.lit(1).alias("side"), F.array_except("a", "b").alias("digests")),
+        F.struct(F.col("earlier").alias("snapshot_id"), F.col("b_at").alias("loaded_at"), F.lit(-1).alias("side"), F.array_except("b", "a").alias("digests")),
+    )
+    return met.select(*part, "later", F.inline(sides)).select("estate", "snapshot_id", "record_type", "loaded_at", F.explode("digests").alias("digest"), "side", "later")
 
 
 def snapshot_changes(snapshot: DataFrame, estates: DataFrame) -> DataFrame:
@@ -92,20 +109,30 @@ def snapshot_changes(snapshot: DataFrame, estates: DataFrame) -> DataFrame:
 
     Snapshots are ordered by the instant of taken_at; equal instants by loaded_at, then snapshot_id. A snapshot whose
     taken_at denotes no instant, or without an estate, has no place and is left out. A null array was not delivered: the next one
-    compares with the one before it. An empty array means none. Redelivered rows count once.
+    compares with the one before it. An empty array means none. Of several deliveries of one snapshot the last with the array holds;
+    deliveries of one time count once.
     """
-    light = snapshot.select("snapshot_id", "estate", "taken_at", "loaded_at").where("estate IS NOT NULL")
     zone = estates.groupBy("estate").agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order"))
-    stamped = light.groupBy("snapshot_id", "estate", F.col("taken_at").alias("value")).agg(F.min("loaded_at").alias("loaded_at")).join(zone, "estate", "left")
-    at = instants.choose(stamped, "estate", "snapshot_id", ["estate", "snapshot_id", "loaded_at"])
-    body = snapshot.where("estate IS NOT NULL").groupBy("estate", "snapshot_id").agg(F.max_by("services", F.struct(F.col("services").isNotNull(), "loaded_at")).alias("services"), F.max_by("routes", F.struct(F.col("routes").isNotNull(), "loaded_at")).alias("routes"))
-    given = body.join(at.groupBy("estate", "snapshot_id").agg(F.min("utc_us").alias("utc_us"), F.min("loaded_at").alias("loaded_at")), ["estate", "snapshot_id"])
-    # ranks are numbered over rows without payload, then joined to the arrays
-    flags = given.select("estate", "snapshot_id", "utc_us", "loaded_at", F.inline(F.array(
-        F.struct(F.lit("service").alias("record_type"), F.col("services").isNotNull().alias("there")),
-        F.struct(F.lit("route").alias("record_type"), F.col("routes").isNotNull().alias("there")),
-    ))).where("there")
-    w = Window.partitionBy("estate", "record_type").orderBy("utc_us", "loaded_at", "snapshot_id")
-    rank = flags.withColumn("rank", F.row_number().over(w)).select("estate", "snapshot_id", "record_type", "rank")
-    parts = [_entries(body, kind) for kind in ("service", "route")]
-    return changes(parts[0].unionByName(parts[1]).join(rank, ["estate", "snapshot_id", "record_type"]))
+    stamped = (
+        snapshot.where("estate IS NOT NULL").groupBy("snapshot_id", "estate", F.col("taken_at").alias("value"))
+        .agg(F.min("loaded_at").alias("loaded_at"), F.min(instants.loaded()).alias("at")).join(zone, "estate", "left")
+    )
+    at = instants.choose(stamped, "estate", "at", ["estate", "snapshot_id", "loaded_at"]).where(F.col("cost") < instants.AGAINST)
+    at = at.groupBy("estate", "snapshot_id").agg(F.min("utc_us").alias("utc_us"), F.min("loaded_at").alias("since"))
+    chunks = chunked(entries(snapshot))
+    time = F.coalesce("loaded_at", F.lit("1970-01-01").cast("timestamp_ntz"))
+    slim = chunks.select(*ID, time.alias("loaded_at"), F.transform("chunks", lambda x: x["digest"]).alias("digests"))
+    held = slim.groupBy(*ID).agg(F.max_by(F.struct("loaded_at", "digests"), F.struct("loaded_at", F.hash("digests"))).alias("x")).select(*ID, "x.*")
+    skeleton = ranked(held.join(at, ["estate", "snapshot_id"]), ["estate", "record_type"], ["utc_us", "since", "snapshot_id"])
+    need = cut(differing(skeleton))
+    wanted = need.select(*ID, "loaded_at", "digest").distinct()
+    if need.count() <= MOST_SENT:
+        wanted = F.broadcast(wanted)
+    rows = chunks.select(*ID, time.alias("loaded_at"), F.inline("chunks")).join(wanted, [*ID, "loaded_at", "digest"], "left_semi")
+    once = rows.groupBy(*ID, "loaded_at", "digest").agg(F.first("items").alias("items"))
+    keyed = need.join(once, [*ID, "loaded_at", "digest"]).select("estate", "later", "record_type", "side", F.inline("items"))
+    both = keyed.groupBy("estate", "later", "record_type", "key").agg(
+        F.max(F.when(F.col("side") > 0, F.col("val"))).alias("new"), F.max(F.when(F.col("side") < 0, F.col("val"))).alias("old")
+    )
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("new") != F.col("old"), "changed")
+    return both.withColumn("change_type", change).where("change_type IS NOT NULL").select("estate", F.col("later").alias("snapshot_id"), "record_type", F.col("key").alias("record_key"), "change_type")

@@ -26,7 +26,12 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return instants.found(*(table(spark, sf, t) for t in ("file_metrics", "snapshot", "repos", "estates")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found)}
+def p4_undeclared(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the path alone finds the order of day and month of an estate that declares none."""
+    return instants.undeclared(*(table(spark, sf, t) for t in ("snapshot", "estates")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found, p4_undeclared)}
 
 #: Fixed by the problem: an end is a case if no delivery of its id is valid at the edge's load.
 P2_SQL = r"""

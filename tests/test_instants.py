@@ -63,6 +63,46 @@ def test_viterbi_reads_an_undeclared_source_by_its_order(spark):
     assert got == [us(2026, 1, 25), us(2026, 2, 2), us(2026, 2, 3), us(2026, 2, 5), us(2026, 2, 14)]
 
 
+def test_the_path_overrides_the_cheapest_single_reading(spark):
+    # at 02:50 and then 02:10 of the night the clock goes back; the first pass is the cheaper reading of either alone
+    texts = ["2025-10-26 01:30:00", "2025-10-26 02:50:00", "2025-10-26 02:10:00", "2025-10-26 03:10:00"]
+    df = spark.createDataFrame([(k, "s", v, "Europe/Berlin", "DMY") for k, v in enumerate(texts)], V)
+    free = dict(rows(instants.choose(df, "source", "row_id", ["row_id"], second_pass=1.5).select("row_id", "utc_us")))
+    held = dict(rows(instants.choose(df, "source", "row_id", ["row_id"]).select("row_id", "utc_us")))
+    assert free[2] == us(2025, 10, 26, 1, 10) and free[1] == us(2025, 10, 26, 0, 50)
+    assert held[2] == us(2025, 10, 26, 0, 10)  # a rule stands above the path
+
+
+def test_every_reading_is_made_and_none_that_may_win_is_dropped(spark):
+    texts = [("03/04/2026", "DMY"), ("03/04/2026", None), ("25/04/2026", "MDY"), ("1760152843", None)]
+    df = spark.createDataFrame([(k, "s", v, "UTC", o) for k, (v, o) in enumerate(texts)], V)
+    got = {r["row_id"]: [(c["fmt"], c["cost"]) for c in r["cands"]] for r in instants.candidates(df).collect()}
+    assert got[0] == [("dmy", 0.0), ("mdy", instants.AGAINST)] and got[1] == [("dmy", 0.0), ("mdy", 0.0)]
+    assert got[2] == [("dmy", instants.AGAINST)] and [c for _, c in got[3]] == [0.0] + [instants.AGAINST] * 3
+    assert instants.AGAINST > instants.GAIN
+
+
+def test_a_long_ambiguous_run_spans_batches(spark):
+    days = [f"{1 + k // 40 % 12:02d}/{1 + k // 500:02d}/2026" for k in range(2000)]  # ambiguous throughout
+    df = spark.createDataFrame([(k, "s", d, "UTC", None) for k, d in enumerate(days)], V)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = [r[1] for r in sorted(instants.choose(df, "source", "row_id", ["row_id"]).select("row_id", "utc_us").collect())]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 2000
+    assert sum(b < a for a, b in zip(got, got[1:])) <= 4
+
+
+def test_undeclared_estates_are_read_along_their_loads(spark):
+    from datetime import datetime as T
+
+    taken = ["28/12/2025", "01/01/2026", "02/01/2026", "05/01/2026", "09/01/2026", "14/01/2026"]
+    sn = spark.createDataFrame([(9 - k, "e", t, T(2026, 1, 1 + k)) for k, t in enumerate(taken)], "snapshot_id bigint, estate string, taken_at string, loaded_at timestamp_ntz")
+    es = spark.createDataFrame([("e", "UTC", "DMY")], "estate string, tz string, date_order string")
+    assert rows(instants.undeclared(sn, es)) == [("e", 6, 3, 3)]
+
+
 def best(seq):
     """The least cost over all paths."""
     def cost(path):
@@ -105,7 +145,7 @@ def test_empty(spark):
 
 def test_found_leaves_out_what_is_canonical(spark):
     fm = spark.createDataFrame([(1, "r", "2026-05-09T10:00:00Z", "2026-05-09"), (1, "r", "2026-05-09T10:00:00Z", "2026-05-09"), (2, None, None, "-")], "metric_id bigint, repo string, first_change string, last_change string")
-    sn = spark.createDataFrame([(7, "e", "1736022998")], "snapshot_id bigint, estate string, taken_at string")
+    sn = spark.createDataFrame([(7, "e", "1736022998", None)], "snapshot_id bigint, estate string, taken_at string, loaded_at timestamp_ntz")
     z = spark.createDataFrame([("r", "Asia/Tokyo", "DMY")], "repo string, tz string, date_order string")
     es = spark.createDataFrame([], "estate string, tz string, date_order string")
     assert rows(instants.found(fm, sn, z, es)) == [("file_metrics", 1, "last_change", us(2026, 5, 9, tz="Asia/Tokyo")), ("snapshot", 7, "taken_at", 1736022998000000)]

@@ -44,8 +44,26 @@ def test_rows_without_place_and_empty_table(spark):
 def test_chunks_cut_alike_after_an_insertion(spark):
     keys = [f"k{i:04d}" for i in range(400)]
     one = [(1, [(k, "") for k in keys]), (2, [(k, "") for k in sorted([*keys, "k0200x"])])]
-    got = snapshots.chunks(spark.createDataFrame(one, "rank int, entries array<struct<key:string,val:string>>"))
+    got = snapshots.chunked(spark.createDataFrame(one, "rank int, entries array<struct<key:string,val:string>>")).select("rank", F.inline("chunks"))
     digests = {r[0]: set(r[1]) for r in got.groupBy("rank").agg(F.collect_set("digest")).collect()}
     assert len(digests[1]) > 8 and len(digests[2] - digests[1]) <= 2
     back = got.select("rank", F.inline("items")).groupBy("rank").count()
     assert rows(back) == [(1, 400), (2, 401)]
+
+
+def test_the_last_delivery_with_the_array_holds(spark):
+    early, late = T(2025, 1, 1), T(2025, 2, 1)
+    got = run(spark, [
+        (1, "e", "2025-01-01", ["a"], ["a GET /x"], early),
+        (2, "e", "2025-01-02", ["a", "b"], ["a GET /y"], early), (2, "e", "2025-01-02", ["a", "c"], None, late), (2, "e", "2025-01-02", ["a", "c"], None, late),
+    ])
+    assert got == [("e", 2, "route", "a /x", "removed"), ("e", 2, "route", "a /y", "added"), ("e", 2, "service", "c", "added")]
+
+
+def test_a_hot_estate_is_ranked_by_many_tasks(spark):
+    data = [("hot" if k % 3 else f"e{k}", k, 7 * k % 101) for k in range(101)]
+    got = snapshots.ranked(spark.createDataFrame(data, "estate string, snapshot_id int, at int").repartition(5), ["estate"], ["at", "snapshot_id"])
+    want = {}
+    for e, k, at in sorted(data, key=lambda x: (x[0], x[2], x[1])):
+        want.setdefault(e, []).append(k)
+    assert sorted((r["estate"], r["snapshot_id"], r["rank"]) for r in got.collect()) == sorted((e, k, i + 1) for e, ks in want.items() for i, k in enumerate(ks))
