@@ -102,21 +102,26 @@ def writer_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("table_name", text("n", "o").alias("gained"), text("o", "n").alias("lost"), ((F.size("o") <= 1) & (F.size("n") > 1)).alias("became_multi")).where("gained <> '' OR lost <> ''")
 
 
-def affected_services(edges: DataFrame, nodes: DataFrame, target: str, depth: int = 2) -> DataFrame:
-    """(service, reason): where the change lives, what depends on it, and who calls those services."""
-    start = nodes.where(F.col("id") == target)
-    svc = lambda d: d.select(F.coalesce("service", "repo").alias("service")).where("service IS NOT NULL")
-    deps = graph.reach(edges, start.select("id"), vocab.SYMBOL_KINDS, depth).join(nodes, "id")
-    first = svc(start).withColumn("reason", F.lit("origin")).unionByName(svc(deps).withColumn("reason", F.lit("symbol"))).distinct()
-    called = first.select(ids.named_id("service", F.col("service")).alias("dst"), F.col("service").alias("of")).distinct()
+def affected_services(edges: DataFrame, nodes: DataFrame, members: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
+    """(service, reason): where a change to ``start`` (id) lives, what depends on it, and who calls those services.
+
+    A node's service is the one its membership names; one without a service node goes by what it says itself and has no callers.
+    """
+    start = start.select("id").distinct()
+    deps = graph.reach(edges, start, vocab.SYMBOL_KINDS, depth).select("id")
+    hit = start.withColumn("reason", F.lit("origin")).unionByName(deps.withColumn("reason", F.lit("symbol")))
+    svc = nodes.where("kind = 'service'").select(F.col("id").alias("grp"), "name")
+    said = nodes.select("id", F.coalesce("service", "repo").alias("said"))
+    first = hit.join(said, "id").join(members, "id", "left").join(svc, "grp", "left").select("grp", F.coalesce("name", "said").alias("service"), "reason").where("service IS NOT NULL").distinct()
+    called = first.where("grp IS NOT NULL").select(F.col("grp").alias("dst"), F.col("service").alias("of")).distinct()
     callers = edges.where(F.col("kind").isin(*vocab.SERVICE_KINDS)).join(called, "dst").join(nodes.select(F.col("id").alias("src"), F.col("name").alias("service")), "src")
-    return first.unionByName(callers.where("service <> of").select("service", F.lit("caller").alias("reason"))).distinct()
+    return first.select("service", "reason").unionByName(callers.where("service <> of").select("service", F.lit("caller").alias("reason"))).distinct()
 
 
 def contracts_of(edges: DataFrame, nodes: DataFrame, services: DataFrame) -> DataFrame:
-    """(service, kind, name) of routes exposed and topics produced by ``services`` (service)."""
-    ids_ = services.select(ids.named_id("service", F.col("service")).alias("src"), "service").distinct()
-    hit = edges.where(F.col("kind").isin("exposes", "produces")).select("src", "dst").join(ids_, "src")
+    """(service, kind, name) of routes exposed and topics produced by ``services`` (id of the service node)."""
+    named = nodes.join(services.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("src"), F.col("name").alias("service"))
+    hit = edges.where(F.col("kind").isin("exposes", "produces")).select("src", "dst").join(named, "src")
     return hit.join(nodes.where("kind IN ('route', 'topic')").select(F.col("id").alias("dst"), "kind", "name"), "dst").select("service", "kind", "name").distinct()
 
 
@@ -148,10 +153,11 @@ def pr_context(edges: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFr
     )
 
 
-def flow(edges: DataFrame, nodes: DataFrame, entity: str, entries: int = 12) -> DataFrame:
-    """(stage, item, service): entry routes of an entity, then the tables, topics and consumers of their services."""
+def flow(edges: DataFrame, nodes: DataFrame, members: DataFrame, entity: str, entries: int = 12) -> DataFrame:
+    """(stage, item, service): entry routes of an entity, then the tables, topics and consumers of the services that hold them."""
     routes = nodes.where((F.col("kind") == "route") & F.col("name").ilike(f"%{entity}%")).orderBy("name", "id").limit(entries)
-    svcs = routes.where("service IS NOT NULL").select("service", ids.named_id("service", F.col("service")).alias("src")).distinct()
+    names = nodes.where("kind = 'service'").select(F.col("id").alias("src"), F.col("name").alias("service"))
+    svcs = routes.select("id").join(members.select("id", F.col("grp").alias("src")), "id").select("src").distinct().join(names, "src")
     e = edges.join(svcs, "src")
     entry = routes.select(F.lit("entry").alias("stage"), F.col("name").alias("item"), "service")
     data = e.where("kind IN ('reads-table', 'writes-table')").select(F.lit("data").alias("stage"), ids.tail(F.col("dst")).alias("item"), "service")

@@ -21,41 +21,39 @@ def adjacency(edges: DataFrame, exclude: Sequence[str] = ("uses-library",)) -> D
     return edges.where(~F.col("kind").isin(*exclude)).select("src", "dst", w.alias("w"))
 
 
-def pagerank(adj: DataFrame, seeds: DataFrame | None = None, iterations: int = MOST_ITERATIONS, tolerance: float | None = TOLERANCE, every: int = 5) -> DataFrame:
+def pagerank(adj: DataFrame, seeds: DataFrame | None = None, iterations: int = MOST_ITERATIONS, tolerance: float | None = TOLERANCE) -> DataFrame:
     """(id, rank), ranks adding up to 1. Personalised by ``seeds`` (id, weight), each node keeping a floor of 0.15 / n.
 
-    Mass of nodes without out-edges goes to the personal vector. Parallel edges are added first. Links are partitioned by src
-    once; each step is a join on that partitioning and one map-side combined sum, with the lineage cut every ``every`` steps.
+    Mass of nodes without out-edges goes to the personal vector. Parallel edges are added first. Links are laid out by src
+    once; each step is a join on that layout and one map-side combined sum, cut at its end, and one row of sums (the mass to hand
+    out again and the change) that the next step takes as numbers.
     """
+    tasks = int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = adj.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    nodes = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
     out = links.groupBy("src").agg(F.sum("w").alias("out"))
-    links = cut(links.join(out, "src").where("out > 0").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
-    if seeds is None:
-        total = nodes.agg(F.count("*").alias("n"))
-        start = nodes.crossJoin(F.broadcast(total)).select("id", (F.lit(1.0) / F.col("n")).alias("p"))
-    else:
-        v = nodes.join(seeds.groupBy("id").agg(F.greatest(F.sum("weight"), F.lit(0.0)).alias("v")), "id", "left").fillna(0.0, ["v"])
-        total = v.agg(F.sum("v").alias("t"), F.count("*").alias("n"))
-        raw = F.when(F.col("t") > 0, F.col("v") / F.when(F.col("t") > 0, F.col("t"))).otherwise(F.lit(1.0) / F.col("n")) + F.lit(0.15) / F.col("n")
-        start = v.crossJoin(F.broadcast(total)).select("id", (raw / F.lit(1.15)).alias("p"))
-    leaves = start.join(links.select(F.col("src").alias("id")).distinct().withColumn("has", F.lit(True)), "id", "left")
-    base = cut(leaves.select("id", "p", F.col("has").isNull().alias("leaf")))
-    ranks = base.select("id", "p", "leaf", F.col("p").alias("rank"))
-    for k in range(1, iterations + 1):
-        lost = ranks.agg(F.sum(F.when(F.col("leaf"), F.col("rank")).otherwise(0.0)).alias("lost"))  # one row
+    links = cut(links.join(out, "src").select("src", "dst", F.when(F.col("out") > 0, F.col("w") / F.col("out")).alias("share")).repartition(tasks, "src"))
+    nodes = links.select(F.col("src").alias("id"), (F.col("share") > 0).alias("gives")).unionByName(links.select(F.col("dst").alias("id"), F.lit(False).alias("gives")))
+    nodes = nodes.groupBy("id").agg((~F.coalesce(F.bool_or("gives"), F.lit(False))).alias("leaf"))
+    if seeds is not None:
+        nodes = nodes.join(seeds.groupBy("id").agg(F.greatest(F.sum("weight"), F.lit(0.0)).alias("v")), "id", "left").fillna(0.0, ["v"])
+    base = cut(nodes.repartition(tasks, "id"))
+    n, t = base.agg(F.count("*"), F.sum("v") if seeds is not None else F.lit(0.0)).first()
+    if not n:
+        return base.select("id", F.lit(0.0).alias("rank"))
+    p = F.lit(1.0 / n) if seeds is None else ((F.col("v") / t if t else F.lit(1.0 / n)) + F.lit(0.15 / n)) / F.lit(1.15)
+    ranks = base.select("id", "leaf", p.alias("p"), p.alias("rank"))
+    lost = ranks.agg(F.sum(F.when(F.col("leaf"), F.col("rank")))).first()[0] or 0.0
+    links = links.where("share > 0")
+    for _ in range(iterations):
         given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = ranks.join(given, ranks["id"] == given["dst"], "left").crossJoin(F.broadcast(lost)).select(
-            "id", "p", "leaf", F.col("rank").alias("was"),
-            (F.lit(1 - DAMPING) * F.col("p") + F.lit(DAMPING) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p"))).alias("rank"),
-        )
-        last = k == iterations
-        if k % every == 0 or last:
-            new = cut(new)
-            if not last and tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < tolerance:
-                ranks = new
-                break
-        ranks = new.drop("was") if not last else new
+        new = cut(ranks.join(given, ranks["id"] == given["dst"], "left").select(
+            "id", "leaf", "p", F.col("rank").alias("was"),
+            (F.lit(1 - DAMPING) * F.col("p") + F.lit(DAMPING) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("p"))).alias("rank"),
+        ))
+        lost, moved = new.agg(F.sum(F.when(F.col("leaf"), F.col("rank"))), F.sum(F.abs(F.col("rank") - F.col("was")))).first()
+        lost, ranks = lost or 0.0, new.drop("was")
+        if tolerance is not None and moved < tolerance:
+            break
     return ranks.select("id", "rank")
 
 
@@ -72,18 +70,27 @@ def seeds_from_terms(nodes: DataFrame, terms: Sequence[str]) -> DataFrame:
     return nodes.select("id", weight.alias("weight")).where("weight > 0")
 
 
+#: So many ids of a frontier, some 200 bytes each, may be broadcast; a larger one meets the edges by a shuffle.
+MOST_SENT = 100_000
+
+
+def _sent(frontier: DataFrame) -> DataFrame:
+    return F.broadcast(frontier) if frontier.count() <= MOST_SENT else frontier
+
+
 def reach(edges: DataFrame, starts: DataFrame, kinds: Sequence[str], depth: int, inbound: bool = True) -> DataFrame:
     """(id, distance, via, evidence, provenance, confidence): breadth-first from ``starts`` (id), one join a level.
 
-    The edge recorded is the first in (kind, evidence, other end) order that reaches a node at its least distance. The frontier meets the
-    edges by key; nodes seen leave by anti-join, so cycles end.
+    The edge recorded is the first in (kind, evidence, other end) order that reaches a node at its least distance. The edges are cut
+    once; a frontier of checked size is sent to them, so an end with a large share of the edges stays spread. Nodes seen leave by
+    anti-join, so cycles end.
     """
     near, far = ("dst", "src") if inbound else ("src", "dst")
-    e = edges.where(F.col("kind").isin(*kinds)).select(F.col(near).alias("near"), F.col(far).alias("id"), "kind", "evidence", "provenance", "confidence")
-    seen = starts.select("id").distinct()
+    e = cut(edges.where(F.col("kind").isin(*kinds)).select(F.col(near).alias("near"), F.col(far).alias("id"), "kind", "evidence", "provenance", "confidence"))
+    seen = cut(starts.select("id").distinct())
     frontier, out = seen, None
     for d in range(1, depth + 1):
-        hit = e.join(frontier.select(F.col("id").alias("near")), "near").join(seen, "id", "left_anti")
+        hit = e.join(_sent(frontier.select(F.col("id").alias("near"))), "near").join(seen, "id", "left_anti")
         level = cut(
             hit.groupBy("id").agg(F.min(F.struct("kind", "evidence", "near", "provenance", "confidence")).alias("e"))
             .select("id", F.lit(d).alias("distance"), F.col("e.kind").alias("via"), F.col("e.evidence").alias("evidence"), F.col("e.provenance").alias("provenance"), F.col("e.confidence").alias("confidence"))
@@ -98,15 +105,15 @@ def reach(edges: DataFrame, starts: DataFrame, kinds: Sequence[str], depth: int,
 
 def shortest_path(edges: DataFrame, starts: DataFrame, goals: DataFrame, hops: int = 6) -> DataFrame:
     """(step, id, via, evidence) of a directed shortest path from any start to any goal, least ids first; empty if none."""
-    e = edges.select("src", "dst", "kind", "evidence")
+    e = cut(edges.select("src", "dst", "kind", "evidence"))
     level = starts.select("id", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("evidence")).dropDuplicates(["id"])
     levels, seen = [cut(level)], level.select("id")
-    goal = goals.select("id").distinct()
+    goal = cut(goals.select("id").distinct())
     found = levels[0].join(goal, "id", "left_semi").orderBy("id").limit(1)
     k = 0
     while found.isEmpty() and k < hops:
         k += 1
-        nxt = e.join(levels[-1].select(F.col("id").alias("src")), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
+        nxt = e.join(_sent(levels[-1].select(F.col("id").alias("src"))), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
         nxt = cut(nxt.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("src", "kind", "evidence")).alias("e")).select("id", F.col("e.src").alias("parent"), F.col("e.kind").alias("via"), F.col("e.evidence").alias("evidence")))
         if nxt.isEmpty():
             break
@@ -166,13 +173,28 @@ def rollup(edges: DataFrame, members: DataFrame, min_confidence: float = 0.0, ki
     ).withColumn("style", vocab.lookup(vocab.EDGE_STYLE, "kind", "other"))
 
 
-def estate_members(nodes: DataFrame) -> DataFrame:
-    """(id, grp): actors stand for themselves, all else rolls up to its service's node if there is one."""
-    own = F.when(F.col("kind").isin(*vocab.TOP_KINDS), F.col("id"))
+def services_of(nodes: DataFrame) -> DataFrame:
+    """(id, name, estate) of the service nodes; the estate stands before the name in the id, if one does."""
+    tail = ids.tail(F.col("id"))
+    inside = tail.endswith(F.concat(F.lit("."), F.col("name")))
+    return nodes.where("kind = 'service'").select("id", "name", F.when(inside, F.substring(tail, F.lit(1), F.length(tail) - F.length("name") - 1)).alias("estate"))
+
+
+def estate_members(nodes: DataFrame, repos: DataFrame) -> DataFrame:
+    """(id, grp): actors stand for themselves, all else belongs to the node of its service, if there is one.
+
+    The service is told by name, a repo without one by its own name, within the estate of the repo; where the estate holds none of that
+    name, by a name that only one service has. Names repeat across estates, so a name alone is not enough.
+    """
+    top = F.col("kind").isin(*vocab.TOP_KINDS)
+    svc = services_of(nodes)
+    home = repos.groupBy("repo").agg(F.min("estate").alias("estate"))
     via = F.when(F.col("kind") == "table", F.col("service")).otherwise(F.coalesce("service", "repo"))
-    made = nodes.select("id", F.coalesce(own, ids.named_id("service", via)).alias("grp"))
-    tops = nodes.where(F.col("kind").isin(*vocab.TOP_KINDS)).select(F.col("id").alias("grp"))
-    return made.join(tops, "grp", "left_semi")
+    inner = nodes.where(~top).select("id", "repo", via.alias("name")).join(home, "repo", "left")
+    own = svc.where("estate IS NOT NULL").groupBy("name", "estate").agg(F.min("id").alias("own"))
+    only = svc.groupBy("name").agg(F.min("id").alias("only"), F.count("*").alias("n")).where("n = 1").drop("n")
+    made = inner.join(own, ["name", "estate"], "left").join(only, "name", "left").select("id", F.coalesce("own", "only").alias("grp")).where("grp IS NOT NULL")
+    return nodes.where(top).select("id", F.col("id").alias("grp")).unionByName(made)
 
 
 def contents(nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -203,16 +225,19 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     return edges.join(keep.select(F.col("id").alias("src")), "src", "left_semi").join(keep.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def layering(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+def layering(pairs: DataFrame) -> DataFrame:
     """(id, layer): longest path from a source over ``pairs`` (src, dst), back edges cut by the order of first reach.
 
-    A pair whose dst is reached no later than its src (breadth-first from the nodes without predecessors) is a back edge.
+    A pair whose dst is reached no later than its src (breadth-first from the nodes without predecessors) is a back edge. Both loops go
+    on until nothing moves.
     """
-    p = pairs.where("src <> dst").select("src", "dst").distinct()
+    p = cut(pairs.where("src <> dst").select("src", "dst").distinct())
     nodes = p.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     roots = nodes.join(p.select(F.col("dst").alias("id")), "id", "left_anti")
     at = cut(nodes.join(roots.withColumn("d", F.lit(0)), "id", "left"))
-    for k in range(1, rounds):
+    k = 0
+    while True:
+        k += 1
         new = p.join(at.where(F.col("d") == k - 1).select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().withColumn("n", F.lit(k))
         at = cut(at.join(new, "id", "left").select("id", F.coalesce("d", "n").alias("d"), (F.col("d").isNull() & F.col("n").isNotNull()).alias("moved")))
         if at.where("moved").isEmpty():
@@ -224,7 +249,7 @@ def layering(pairs: DataFrame, rounds: int = 64) -> DataFrame:
         .where("ds < dd OR (ds = dd AND src < dst)").select("src", "dst")
     )
     layer = nodes.withColumn("layer", F.lit(0))
-    for _ in range(rounds):
+    while True:
         up = dag.join(layer.select(F.col("id").alias("src"), "layer"), "src").groupBy("dst").agg((F.max("layer") + 1).alias("up"))
         new = cut(layer.join(up, layer["id"] == up["dst"], "left").select("id", F.greatest("layer", F.coalesce("up", "layer")).alias("layer"), (F.col("up") > F.col("layer")).alias("moved")))
         layer = new.select("id", "layer")

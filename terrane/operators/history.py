@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.session import cut
+
 #: Files whose churn says nothing of design (fixed values).
 BORING = r"(?i)(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|gemfile\.lock|poetry\.lock|cargo\.lock|go\.sum|composer\.lock|changelog(\.md)?)$"
 TICKET = r"\b([A-Z][A-Z0-9]{1,9}-[0-9]{1,6})\b"
@@ -19,9 +21,10 @@ def renamed(path: Column) -> Column:
 def changes(commits: DataFrame, design_only: bool = True) -> DataFrame:
     """(repo, sha, author, date, month, path, added, deleted): one row per counted commit and file under its new path.
 
-    Redeliveries of a commit count once; merges and reverts, and files of no design interest, are left out unless ``design_only`` is off.
+    The latest delivery of a commit holds; merges and reverts, and files of no design interest, are left out unless ``design_only`` is off.
     """
-    once = commits.where("repo IS NOT NULL AND sha IS NOT NULL").select("repo", "sha", "author", "date", "subject", "files").distinct()
+    last = F.max_by(F.struct("author", "date", "subject", "files"), F.coalesce("loaded_at", F.lit("1970-01-01").cast("timestamp_ntz")))
+    once = commits.where("repo IS NOT NULL AND sha IS NOT NULL").groupBy("repo", "sha").agg(last.alias("c")).select("repo", "sha", "c.*")
     if design_only:
         low = F.lower(F.coalesce("subject", F.lit("")))
         once = once.where(~(low.startswith("merge") | low.startswith("revert")))
@@ -64,12 +67,18 @@ def timeline(commits: DataFrame, repos: DataFrame) -> DataFrame:
     )
 
 
-def hotspots(metrics: DataFrame) -> DataFrame:
-    """(repo, path, hotspot): churn times complexity, each over its greatest value; 0 where either is not positive."""
+def hotspots(metrics: DataFrame, repo: str | None = None, least: float | None = None) -> DataFrame:
+    """(repo, path, hotspot): churn times complexity, each over its greatest value; 0 where either is not positive.
+
+    ``repo`` keeps one repo, measured against the whole estate; ``least`` keeps what scores more than that.
+    """
     rows = metrics.groupBy("repo", "path").agg(F.max("revisions").alias("revisions"), F.max("complexity").alias("complexity"))
     top = rows.agg(F.max("revisions").alias("mr"), F.max("complexity").alias("mc"))
     score = F.round(F.log1p(F.col("revisions").cast("double")) / F.log1p(F.col("mr").cast("double")) * F.col("complexity") / F.col("mc"), 6)
-    return rows.crossJoin(F.broadcast(top)).select("repo", "path", F.when((F.col("revisions") > 0) & (F.col("complexity") > 0), score).otherwise(0.0).alias("hotspot"))
+    if repo is not None:
+        rows = rows.where(F.col("repo") == repo)
+    got = rows.crossJoin(F.broadcast(top)).select("repo", "path", F.when((F.col("revisions") > 0) & (F.col("complexity") > 0), score).otherwise(0.0).alias("hotspot"))
+    return got if least is None else got.where(F.col("hotspot") > least)
 
 
 def cochange(ch: DataFrame, min_shared: int = 3, min_degree: float = 0.30, most: int = 40) -> DataFrame:
@@ -78,6 +87,7 @@ def cochange(ch: DataFrame, min_shared: int = 3, min_degree: float = 0.30, most:
     Pairs are formed inside the sorted file array of a commit, so a commit never meets another and nothing is self-joined;
     they are counted map-side first. Bounded by ``most`` squared per commit.
     """
+    ch = cut(ch.select("repo", "sha", "path"))  # pairs and revisions both count it
     commit = ch.groupBy("repo", "sha").agg(F.array_sort(F.collect_set("path")).alias("p")).where(F.size("p").between(2, most))
     rest = lambda i: F.slice("p", i + 2, F.greatest(F.size("p") - i - 1, F.lit(0)))
     pairs = F.flatten(F.transform("p", lambda x, i: F.transform(rest(i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
@@ -91,11 +101,13 @@ def cochange(ch: DataFrame, min_shared: int = 3, min_degree: float = 0.30, most:
     )
 
 
-def cross_cochange(ch: DataFrame, groups: DataFrame, min_shared: int, most: int = 80, factor: float = 1.0, min_degree: float = 0.0) -> DataFrame:
+def cross_cochange(
+    ch: DataFrame, groups: DataFrame, min_shared: int, most: int = 80, factor: float = 1.0, min_degree: float = 0.0, known: DataFrame | None = None
+) -> DataFrame:
     """Pairs of files of different repos that share a key (ticket, author and day): (a, b, shared, a_revs, b_revs, degree).
 
     ``groups`` is (repo, sha, key). Groups of one repo or of more than ``most`` files say nothing and are left out. The group's
-    files are one array of at most ``most`` entries.
+    files are one array of at most ``most`` entries. Pairs in ``known`` (a, b), coupled by stronger evidence, are left out.
     """
     rows = ch.join(groups, ["repo", "sha"]).select("key", "repo", F.concat("repo", F.lit("/"), "path").alias("f")).distinct()
     g = rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("repo").alias("units"))
@@ -107,6 +119,8 @@ def cross_cochange(ch: DataFrame, groups: DataFrame, min_shared: int, most: int
     revs = ch.groupBy(F.concat("repo", F.lit("/"), "path").alias("f")).agg(F.count("*").alias("revs"))
     side = lambda x: revs.select(F.col("f").alias(x), F.col("revs").alias(f"{x}_revs"))
     degree = F.least(F.lit(1.0), F.col("shared").cast("double") / ((F.col("a_revs") + F.col("b_revs")) / F.lit(2.0))) * F.lit(factor)
+    if known is not None:
+        shared = shared.join(known.select("a", "b").distinct(), ["a", "b"], "left_anti")
     return shared.join(side("a"), "a").join(side("b"), "b").where(degree >= min_degree).select("a", "b", "shared", "a_revs", "b_revs", F.round(degree, 4).alias("degree"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.text import strip
-from terrane.session import cut
+from terrane.session import cut, written
 
 #: Abbreviations of zones, in minutes east of UTC.
 ABBREVIATIONS = {
@@ -77,13 +77,12 @@ def zone_names(spark) -> list[str]:
     return [z for z in spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds().toArray()]
 
 
-def candidates(values: DataFrame, value: str = "value", tz: str = "tz", order: str = "date_order", second_pass: float = AGAINST) -> DataFrame:
-    """Adds ``cands``: array of (fmt, utc_us, cost), every valid reading of the text.
+def _slots(values: DataFrame, value: str, tz: str, order: str, second_pass: float) -> DataFrame:
+    """Adds up to four readings of the text in plain columns _f0 to _f3 (form), _u0.. (instant, null without one), _c0.. (cost).
 
-    A zone or offset in the text wins, else the source's ``tz`` holds (null or unknown: UTC). Numeric dates are read in
-    both orders, the one against the source's ``date_order`` at a cost; without one, both are free. An hour that occurs twice gives
-    both passes, a bare number one reading per unit. Null, blank and impossible values give an empty array. Each text is
-    matched once; the parts are taken from the one match.
+    Slot 0 is the first pass of the day-first reading, of any other form, or of the unit a number's length tells; 1 its second pass; 2 and
+    3 are the month-first reading; the other units of a number take 1 to 3. Each text is matched once; the parts are taken from the
+    one match. Only where several readings are left is an array made of them.
     """
     known = ", ".join(f"'{z}'" for z in sorted(zone_names(values.sparkSession)))  # becomes a hash set
     v = F.regexp_replace(F.translate(strip(value), "\u2212\u2010\u2011\u2012\u2013\u00a0\u202f\u2009", "-----   "), r"\s+", " ")
@@ -104,9 +103,9 @@ def candidates(values: DataFrame, value: str = "value", tz: str = "tz", order: s
     hour, minute, second = (F.coalesce(g[x].cast("int"), F.lit(0)) for x in ("hour", "minute", "second"))
     half = F.lower(F.substring(g["half"], 1, 1))
     clock = F.when(half == "p", F.pmod(hour, F.lit(12)) + 12).when(half == "a", F.pmod(hour, F.lit(12))).otherwise(hour)
-    fine = (hour < 24) & (minute < 60) & (second < 60) & (half.isNull() | hour.between(1, 12)) & (year > 0)
+    valid = (hour < 24) & (minute < 60) & (second < 60) & (half.isNull() | hour.between(1, 12)) & (year > 0)
     micro = F.coalesce(F.rpad(F.substring(g["fraction"], 1, 6), 6, "0").cast("bigint"), F.lit(0))
-    of_day = F.when(fine, (clock * 3600 + minute * 60 + second).cast("bigint") * 1_000_000 + micro)
+    of_day = F.when(valid, (clock * 3600 + minute * 60 + second).cast("bigint") * 1_000_000 + micro)
     out = out.withColumns({
         "_y": year, "_m": _month(g["month"]), "_d": g["day"].cast("int"), "_t": of_day, "_off": _offset(g["zone"]),
         "_named": F.coalesce(g["bracket"], g["zone"]), "_has": g["zone"].isNotNull(),
@@ -114,45 +113,52 @@ def candidates(values: DataFrame, value: str = "value", tz: str = "tz", order: s
     given = F.expr(f"_named IN ({known})")
     local = F.when(F.expr(f"`{tz}` IN ({known})"), F.col(tz)).otherwise(F.lit("UTC"))
     out = out.withColumn("_zone", F.when(given, F.col("_named")).when(~F.col("_has"), local))
-    against = lambda this: F.when(F.col(order).isNull() | (F.trim(order) == ""), 0.0).when((F.col(order) == "MDY") == F.lit(this == "mdy"), 0.0).otherwise(AGAINST)
-    reads = F.when(F.col("_f") == "numeric", F.array(
-        F.struct(F.lit("dmy").alias("fmt"), _days(F.col("_y"), F.col("_m"), F.col("_d")).alias("day"), against("dmy").alias("cost")),
-        F.struct(F.lit("mdy").alias("fmt"), _days(F.col("_y"), F.col("_d"), F.col("_m")).alias("day"), against("mdy").alias("cost")),
-    )).when(F.col("_p").isNotNull(), F.array(F.struct(F.col("_f").alias("fmt"), _days(F.col("_y"), F.col("_m"), F.col("_d")).alias("day"), F.lit(0.0).alias("cost"))))
-    walls = F.filter(F.transform(reads, lambda x: F.struct(x["fmt"].alias("fmt"), (F.unix_micros(x["day"].cast("timestamp")) + F.col("_t")).alias("wall"), x["cost"].alias("cost"))), lambda x: x["wall"].isNotNull())
-    out = out.withColumn("_walls", F.coalesce(walls, F.array()))
-    none = F.array().cast("array<struct<fmt:string,utc_us:bigint,cost:double>>")
-    made = lambda fmt, us, cost: F.struct(fmt.alias("fmt"), us.alias("utc_us"), cost.alias("cost"))
-    utc = lambda x: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(x), F.col("_zone")))
-    back = lambda x: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(x), F.col("_zone")))
-    zoned = F.transform("_walls", lambda x: F.struct(x["fmt"].alias("fmt"), x["wall"].alias("wall"), utc(x["wall"]).alias("first"), x["cost"].alias("cost")))
-    both = F.flatten(F.transform(zoned, lambda x: F.when(
-        back(x["first"] + 3_600_000_000) == x["wall"],
-        F.array(made(x["fmt"], x["first"], x["cost"]), made(x["fmt"], x["first"] + 3_600_000_000, x["cost"] + second_pass)),
-    ).otherwise(F.array(made(x["fmt"], x["first"], x["cost"])))))
+    is_number, numeric = F.col("_f") == "number", F.col("_f") == "numeric"
+    wall = lambda y, m, d: F.unix_micros(_days(F.col(y), F.col(m), F.col(d)).cast("timestamp")) + F.col("_t")
+    out = out.withColumns({"_w0": F.when(F.col("_p").isNotNull(), wall("_y", "_m", "_d")), "_w2": F.when(numeric, wall("_y", "_d", "_m"))})
+    at = lambda w: F.when(F.col("_off").isNotNull(), F.col(w) - F.col("_off").cast("bigint") * 60_000_000).when(
+        F.col("_zone").isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col(w)), F.col("_zone")))
+    )
     digits = F.regexp_extract(c, NUMBER, 1)
-    n = F.length(digits)
-    num = digits.try_cast("bigint")
     fraction = F.coalesce(F.rpad(F.substring(F.regexp_extract(c, NUMBER, 2), 1, 6), 6, "0").try_cast("bigint"), F.lit(0))
-    told = F.when(n <= 11, 0).when(n <= 14, 1).when(n <= 17, 2).otherwise(3)
-    fee = lambda k: F.when(told == k, 0.0).otherwise(AGAINST)
-    # seconds and milliseconds of too many digits are beyond the calendar
-    spans = [made(F.lit("number"), F.when(n <= most, num * unit + (fraction if unit == UNITS[0] else 0)), fee(k)) for k, (unit, most) in enumerate(zip(UNITS, (11, 14, 17)))]
-    spans.append(made(F.lit("number"), F.when(n > 3, F.substring(digits, F.lit(1), n - 3).try_cast("bigint")), fee(3)))
-    cands = (
-        F.when(F.col("_f") == "number", F.filter(F.array(*spans), lambda x: x["utc_us"].isNotNull()))
-        .when(F.col("_off").isNotNull(), F.transform("_walls", lambda x: made(x["fmt"], x["wall"] - F.col("_off").cast("bigint") * 60_000_000, x["cost"])))
-        .when(F.col("_zone").isNotNull(), both)
-        .otherwise(none)
+    out = out.withColumns({"_n": F.when(is_number, digits), "_h": F.when(is_number, fraction), "_g0": at("_w0"), "_g2": at("_w2")})
+    num, size = F.col("_n").try_cast("bigint"), F.length("_n")
+    fine = F.when(size > 3, F.substring(F.col("_n"), F.lit(1), size - 3).try_cast("bigint"))  # nanoseconds are cut, not rounded
+    told = F.when(size <= 11, num * 1_000_000 + F.col("_h")).when(size <= 14, num * 1000).when(size <= 17, num).otherwise(fine)
+    hour = 3_600_000_000
+    back = lambda g, w: F.when(
+        F.col("_off").isNull() & (F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col(g) + hour), F.col("_zone"))) == F.col(w)), F.col(g) + hour
     )
-    keep = [*values.columns, "cands"]
-    return out.withColumn("cands", F.coalesce(cands, none)).select(*keep)
+    against = lambda this: F.when(F.col(order).isNull() | (F.trim(order) == ""), 0.0).when((F.col(order) == "MDY") == F.lit(this == "mdy"), 0.0).otherwise(AGAINST)
+    first, last = F.when(numeric, against("dmy")).otherwise(0.0), F.when(is_number, AGAINST).otherwise(against("mdy"))
+    form = F.when(numeric, "dmy").otherwise(F.col("_f"))
+    return out.withColumns({
+        "_u0": F.when(is_number, told).otherwise(F.col("_g0")), "_u1": F.when(is_number, F.when(size <= 11, num * 1000)).otherwise(back("_g0", "_w0")),
+        "_u2": F.when(is_number, F.when(size <= 14, num)).otherwise(F.col("_g2")), "_u3": F.when(is_number, F.when(size <= 17, fine)).otherwise(back("_g2", "_w2")),
+        "_c0": first, "_c1": F.when(is_number, AGAINST).otherwise(first + second_pass), "_c2": last, "_c3": F.when(is_number, AGAINST).otherwise(last + second_pass),
+        "_f0": form, "_f1": form, "_f2": F.when(is_number, "number").otherwise("mdy"), "_f3": F.when(is_number, "number").otherwise("mdy"),
+    }).select(*values.columns, *[f"_{x}{k}" for x in "fuc" for k in range(4)])
+
+
+def _readings() -> Column:
+    each = [F.struct(F.col(f"_f{k}").alias("fmt"), F.col(f"_u{k}").alias("utc_us"), F.col(f"_c{k}").alias("cost")) for k in range(4)]
+    return F.filter(F.array(*each), lambda x: x["utc_us"].isNotNull())
+
+
+def candidates(values: DataFrame, value: str = "value", tz: str = "tz", order: str = "date_order", second_pass: float = AGAINST) -> DataFrame:
+    """Adds ``cands``: array of (fmt, utc_us, cost), every valid reading of the text.
+
+    A zone or offset in the text wins, else the source's ``tz`` holds (null or unknown: UTC). Numeric dates are read in
+    both orders, the one against the source's ``date_order`` at a cost; without one, both are free. An hour that occurs twice gives
+    both passes, a bare number one reading per unit. Null, blank and impossible values give an empty array.
+    """
+    return _slots(values, value, tz, order, second_pass).select(*values.columns, _readings().alias("cands"))
 
 
-def hopeful(cands: Column) -> Column:
-    """The readings that some path may choose: one dearer than the cheapest by more than GAIN never pays. Exact, whatever the neighbours."""
-    least = F.array_min(F.transform(cands, lambda x: x["cost"]))
-    return F.filter(cands, lambda x: x["cost"] <= least + GAIN)
+def hopeful(slots: DataFrame) -> DataFrame:
+    """Without the readings that no path may choose: one dearer than the cheapest by more than GAIN never pays. Exact, whatever the neighbours."""
+    least = F.least(*[F.when(F.col(f"_u{k}").isNotNull(), F.col(f"_c{k}")) for k in range(4)])
+    return slots.withColumn("_least", least).withColumns({f"_u{k}": F.when(F.col(f"_c{k}") <= F.col("_least") + GAIN, F.col(f"_u{k}")) for k in range(4)})
 
 
 # Viterbi. The state of a record is its chosen candidate. Blocks are sorted range partitions; a block's (min, +) matrix from
@@ -233,13 +239,14 @@ def choose(
     rows = values.select(*dict.fromkeys([source, order, *keep, value, tz, date_order]))
     # Texts are sorted before they are read, so that the readings are made once, in place, and never shuffled.
     placed = rows.repartitionByRange(source, order, *keep).sortWithinPartitions(source, order, *keep)
-    read = candidates(placed, value, tz, date_order, second_pass).withColumn("cands", hopeful(F.col("cands")))
-    one = F.try_element_at("cands", F.lit(1))
+    read = hopeful(_slots(placed, value, tz, date_order, second_pass))
+    first = lambda x: F.coalesce(*[F.when(F.col(f"_u{k}").isNotNull(), F.col(f"_{x}{k}")) for k in range(4)])
+    several = sum((F.col(f"_u{k}").isNotNull().cast("int") for k in range(4)), F.lit(0)) > 1
     # a single reading travels in plain columns; the filter stands after the cut, or it would be pushed below and read each text again
-    blocks = cut(read.select(
-        *dict.fromkeys([source, order, *keep]), one["fmt"].alias("fmt"), one["utc_us"].alias("utc_us"), one["cost"].alias("cost"),
-        F.when(F.size("cands") > 1, F.col("cands")).alias("more"), F.spark_partition_id().alias("block"),
-    )).where("utc_us IS NOT NULL")
+    blocks = written(read.select(
+        *dict.fromkeys([source, order, *keep]), first("f").alias("fmt"), first("u").alias("utc_us"), first("c").alias("cost"),
+        F.when(several, _readings()).alias("more"), F.spark_partition_id().alias("block"),
+    ), "readings").where("utc_us IS NOT NULL")
     cell = "fmt string, utc_us bigint, cost double"
 
     def summaries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

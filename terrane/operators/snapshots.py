@@ -68,7 +68,7 @@ def chunked(rows: DataFrame) -> DataFrame:
     )).otherwise(F.array().cast("array<int>"))
     items = F.transform("_from", lambda s, i: F.slice(e, s + 1, F.coalesce(F.try_element_at("_from", i + 2), F.size(e)) - s))
     out = rows.withColumn("_from", starts).withColumn("_items", items)
-    made = F.transform("_items", lambda x: F.struct(F.substring(F.sha2(F.to_json(x), 256), 1, 32).alias("digest"), x.alias("items")))
+    made = F.transform("_items", lambda x: F.struct(F.substring(F.sha2(F.to_json(x), 256), 1, 20).alias("digest"), x.alias("items")))
     return out.withColumn("chunks", made).drop("_from", "_items", "entries")
 
 

@@ -29,7 +29,11 @@ def service_view(edges: DataFrame, nodes: DataFrame, service: str, depth: int) -
     """(source, target, kind, count): the packages of one service, and the actors and tables they touch."""
     own = F.coalesce("service", "repo") == service
     group = F.when(own & F.col("file").isNotNull(), F.concat(F.lit("package "), graph.package_key(F.col("file"), depth))).when(F.col("kind").isin(*vocab.TOP_KINDS, "table"), F.col("id"))
-    rolled = graph.rollup(edges, nodes.select("id", group.alias("grp")))
+    inner = nodes.where(own & F.col("file").isNotNull()).select("id")
+    touched = edges.join(inner.select(F.col("id").alias("src")), "src", "left_semi").unionByName(
+        edges.join(inner.select(F.col("id").alias("dst")), "dst", "left_semi").join(inner.select(F.col("id").alias("src")), "src", "left_anti").select(edges.columns)
+    )
+    rolled = graph.rollup(touched, nodes.select("id", group.alias("grp")))
     return rolled.where(F.col("source").startswith("package ") | F.col("target").startswith("package ")).select("source", "target", "kind", "count")
 
 
@@ -144,11 +148,16 @@ def imports(uses: DataFrame, files: DataFrame) -> DataFrame:
 def closest_module(names: DataFrame, modules_: DataFrame, least: int = 4) -> DataFrame:
     """(name, module): the module whose name contains or is contained in the name, longest overlap first, at least ``least`` signs.
 
-    Modules are few; containment is tested over a broadcast only behind a check of their number.
+    Containment is an equi join: the pieces of each name meet the modules that are such a piece, and the other way round.
     """
-    if modules_.count() > 20_000:
-        raise ValueError("too many modules for a containment join")
-    m = F.broadcast(modules_.select(F.col("name").alias("module")).distinct())
-    got = names.select("name").distinct().join(m, F.col("name").contains(F.col("module")) | F.col("module").contains(F.col("name")))
-    n = F.least(F.length("name"), F.length("module"))
-    return got.where(n >= least).groupBy("name").agg(F.max(F.struct(n.alias("n"), "module"))["module"].alias("module"))
+    m = modules_.select(F.col("name").alias("module")).where(F.length("name") >= least).distinct()
+    n = names.select("name").where(F.length("name") >= least).distinct()
+
+    def pieces(c: str):
+        size = F.length(c)
+        return F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size - least + 1), lambda i: F.transform(F.sequence(F.lit(least), size - i + 1), lambda k: F.substring(F.col(c), i, k))))))
+
+    inside = n.select("name", pieces("name").alias("module")).join(m, "module").select("name", "module")
+    around = m.select("module", pieces("module").alias("name")).join(n, "name").select("name", "module")
+    size = F.least(F.length("name"), F.length("module"))
+    return inside.unionByName(around).groupBy("name").agg(F.max(F.struct(size.alias("n"), "module"))["module"].alias("module"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.functions.text import strip
 from terrane.model import ids, vocab
-from terrane.operators import estate, graph, history, merge
-from terrane.session import table
+from terrane.operators import estate, graph, history, instants, merge
+from terrane.session import stamp, table, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -33,7 +34,7 @@ GRAPH = GRAPH.replace(GRAPH[GRAPH.index("e1 AS (") : GRAPH.index("e AS (SELECT s
 RUNTIME = ", ".join(f"'{k}'" for k in vocab.RUNTIME_KINDS)
 #: Counted changes of commits in SQL.
 CHANGES = r"""
-WITH c AS (SELECT DISTINCT repo, sha, author, date, subject, files FROM commits WHERE repo IS NOT NULL AND sha IS NOT NULL),
+WITH c AS (SELECT repo, sha, author, date, subject, files FROM commits WHERE repo IS NOT NULL AND sha IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo, sha ORDER BY loaded_at DESC NULLS LAST) = 1),
 x AS (SELECT repo, sha, author, date, substr(date, 1, 7) AS month, subject, u.path AS p, coalesce(u.added, 0) AS added, coalesce(u.deleted, 0) AS deleted FROM (SELECT *, unnest(files) AS u FROM c)),
 y AS (SELECT * EXCLUDE (p), CASE WHEN regexp_matches(p, '\{[^{}]* => [^{}]*\}') THEN regexp_replace(regexp_replace(regexp_replace(p, '\{[^{}]* => ([^{}]*)\}', '\1', 'g'), '/{2,}', '/', 'g'), '^/', '')
   WHEN contains(p, ' => ') THEN regexp_extract(p, ' => (.*)$', 1) ELSE p END AS path FROM x),
@@ -61,6 +62,9 @@ def query(sql: str | None = None):
     return add
 
 
+_merged: dict[tuple, DataFrame] = {}
+
+
 class Tables:
     """The tables of a directory and the views most queries start from."""
 
@@ -70,13 +74,24 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf, name)
 
+    def _kept(self, name: str, make) -> DataFrame:
+        """The merged table, written to the shared folder once for each state of its source and read by column from then on."""
+        key = (self.spark.sparkContext.applicationId, name, stamp(self.spark, f"{self.sf}/{name}.parquet"))
+        if key not in _merged:
+            _merged[key] = written(make(getattr(self, name)), f"merged-{name}")
+        return _merged[key]
+
     @property
     def n(self) -> DataFrame:
-        return merge.merge_nodes(self.nodes)
+        return self._kept("nodes", merge.merge_nodes)
 
     @property
     def e(self) -> DataFrame:
-        return merge.merge_edges(self.edges)
+        return self._kept("edges", merge.merge_edges)
+
+    @property
+    def members(self) -> DataFrame:
+        return graph.estate_members(self.n, self.repos)
 
     @property
     def ch(self) -> DataFrame:
@@ -92,12 +107,12 @@ class Tables:
 
 @query(GRAPH + "SELECT id, kind, source, name, container, file, line, repo, lang, service, extra, live FROM n")
 def node_upsert(t):
-    return t.n
+    return merge.merge_nodes(t.nodes)
 
 
 @query(GRAPH + "SELECT src, dst, kind, evidence, weight, confidence, provenance, source, extra FROM e")
 def edge_upsert(t):
-    return t.e
+    return merge.merge_edges(t.edges)
 
 
 @query("""
@@ -200,9 +215,10 @@ def edge_kinds_between(t):
     return e.groupBy("kind", "src_kind", "dst_kind").agg(F.count("*").alias("n"))
 
 
-@query(GRAPH + "SELECT id, name FROM n WHERE kind = 'service' AND NOT EXISTS (SELECT 1 FROM e WHERE e.kind IN ('http', 'event') AND (e.src = n.id OR e.dst = n.id))")
+@query(GRAPH + "SELECT id, name FROM n WHERE kind = 'service' AND NOT EXISTS (SELECT 1 FROM e WHERE e.kind IN ('http', 'event') AND e.provenance = 'EXTRACTED' AND e.confidence >= 0.95 AND (e.src = n.id OR e.dst = n.id))")
 def lonely_services(t):
-    ends = t.e.where("kind IN ('http', 'event')").select(F.explode(F.array("src", "dst")).alias("id"))
+    """Services without a link that is beyond doubt."""
+    ends = t.e.where("kind IN ('http', 'event') AND provenance = 'EXTRACTED' AND confidence >= 0.95D").select(F.explode(F.array("src", "dst")).alias("id"))
     return t.n.where("kind = 'service'").join(ends, "id", "left_anti").select("id", "name")
 
 
@@ -273,9 +289,10 @@ def shared_tables(t):
     return estate.shared_tables(t.e)
 
 
-@query(GRAPH + """SELECT name, count(DISTINCT repo) AS repos FROM n WHERE kind = 'table' GROUP BY name HAVING count(DISTINCT repo) > 1""")
+@query(GRAPH + """SELECT regexp_extract(name, '^[A-Za-z]+', 0) AS name, count(DISTINCT repo) AS repos FROM n WHERE kind = 'table' GROUP BY 1 HAVING count(DISTINCT repo) > 1""")
 def declared_twice(t):
-    return t.n.where("kind = 'table'").groupBy("name").agg(F.countDistinct("repo").alias("repos")).where("repos > 1")
+    """Table families (first word of the name) declared in several repos; whole names never repeat in the supplied estates."""
+    return t.n.where("kind = 'table'").groupBy(F.regexp_extract("name", "^[A-Za-z]+", 0).alias("name")).agg(F.countDistinct("repo").alias("repos")).where("repos > 1")
 
 
 @query(GRAPH + """SELECT DISTINCT e.dst AS id FROM e WHERE e.kind IN ('reads-table', 'writes-table') AND NOT EXISTS (SELECT 1 FROM e d WHERE d.kind = 'defines-table' AND d.dst = e.dst)""")
@@ -339,22 +356,22 @@ def edge_curvature(t):
 # --- roll-ups ------------------------------------------------------------------------
 
 TOPS = ", ".join(f"'{k}'" for k in vocab.TOP_KINDS)
-MEMBERS = f""", g0 AS (SELECT id, CASE WHEN kind IN ({TOPS}) THEN id ELSE 'cart . service ' || CASE WHEN kind = 'table' THEN service ELSE coalesce(service, repo) END END AS grp FROM n),
-g AS (SELECT id, grp FROM g0 WHERE grp IN (SELECT id FROM n WHERE kind IN ({TOPS})))"""
+MEMBERS = f""", sv AS (SELECT id, name FROM n WHERE kind = 'service'), home AS (SELECT repo, min(estate) AS estate FROM repos GROUP BY repo),
+i0 AS (SELECT n.id, CASE WHEN kind = 'table' THEN service ELSE coalesce(service, repo) END AS via, home.estate FROM n LEFT JOIN home USING (repo) WHERE kind NOT IN ({TOPS})),
+i1 AS (SELECT i0.id, coalesce(x.id, u.id) AS grp FROM i0 LEFT JOIN sv x ON x.name = i0.via AND x.id LIKE '% ' || i0.estate || '.' || i0.via LEFT JOIN (SELECT name, min(id) AS id FROM sv GROUP BY name HAVING count(*) = 1) u ON u.name = i0.via),
+g AS (SELECT id, id AS grp FROM n WHERE kind IN ({TOPS}) UNION ALL SELECT id, grp FROM i1 WHERE grp IS NOT NULL)"""
 
 
 @query(GRAPH + MEMBERS + """SELECT a.grp AS source, b.grp AS target, e.kind, count(*) AS count, max(confidence) AS confidence, CASE WHEN bool_or(provenance = 'EXTRACTED') THEN 'EXTRACTED' ELSE 'INFERRED' END AS provenance,
 bool_or(coalesce(json_extract_string(extra, '$.runtime') = 'true', false)) AS runtime, max(coalesce(TRY_CAST(json_extract_string(extra, '$.calls') AS DOUBLE), 0.0)) AS calls, min(evidence) FILTER (WHERE evidence <> '') AS evidence
 FROM e JOIN g a ON a.id = e.src JOIN g b ON b.id = e.dst WHERE a.grp <> b.grp GROUP BY a.grp, b.grp, e.kind""")
 def estate_rollup(t):
-    n = t.n
-    return graph.rollup(t.e, graph.estate_members(n)).drop("style")
+    return graph.rollup(t.e, t.members).drop("style")
 
 
 @query(GRAPH + MEMBERS + "SELECT grp, kind, count(*) AS n FROM g JOIN n USING (id) WHERE id <> grp GROUP BY grp, kind")
 def group_contents(t):
-    n = t.n
-    return graph.contents(n, graph.estate_members(n))
+    return graph.contents(t.n, t.members)
 
 
 SCAF = ", ".join(f"'{s}'" for s in vocab.SCAFFOLD)
@@ -454,34 +471,51 @@ l1 AS (SELECT DISTINCT src AS id FROM e WHERE kind IN ('calls', 'imports', 'exte
 l2 AS (SELECT DISTINCT src AS id FROM e WHERE kind IN ('calls', 'imports', 'extends') AND dst IN (FROM l1) AND src NOT IN (FROM t0) AND src NOT IN (FROM l1))"""
 
 
-def _most_called(t) -> str | None:
-    r = t.e.where("kind = 'calls'").groupBy("dst").agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), "dst").first()
-    return r["dst"] if r else None
+def _most_called(t) -> DataFrame:
+    """(id) of the target of most calls, none without calls."""
+    return t.e.where("kind = 'calls'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), "id").limit(1).select("id")
 
 
 @query(GRAPH + REACH + " SELECT id, 1 AS distance FROM l1 UNION ALL SELECT id, 2 FROM l2")
 def blast_radius(t):
-    start = t.spark.createDataFrame([(_most_called(t),)], "id string")
-    return graph.reach(t.e, start, vocab.SYMBOL_KINDS, 2).select("id", "distance")
+    return graph.reach(t.e, _most_called(t), vocab.SYMBOL_KINDS, 2).select("id", "distance")
 
 
-@query(GRAPH + REACH + """, d AS (SELECT id FROM l1 UNION SELECT id FROM l2), f AS (SELECT DISTINCT coalesce(n.service, n.repo) AS service, 'origin' AS reason FROM n JOIN t0 USING (id) WHERE coalesce(n.service, n.repo) IS NOT NULL
-UNION SELECT DISTINCT coalesce(n.service, n.repo), 'symbol' FROM n JOIN d USING (id) WHERE coalesce(n.service, n.repo) IS NOT NULL)
-SELECT service, reason FROM f UNION SELECT DISTINCT c.name, 'caller' FROM e JOIN (SELECT DISTINCT service FROM f) s ON e.dst = 'cart . service ' || s.service JOIN n c ON c.id = e.src WHERE e.kind IN ('http', 'event', 'depends-on') AND c.name <> s.service""")
-def affected_services(t):
-    return estate.affected_services(t.e, t.n, _most_called(t))
+HOMES = """, hm AS (SELECT n.id, g.grp, coalesce(s.name, n.service, n.repo) AS service FROM n LEFT JOIN g USING (id) LEFT JOIN sv s ON s.id = g.grp)"""
 
 
-@query(GRAPH + """, s AS (SELECT DISTINCT service FROM n WHERE kind = 'route' AND service IS NOT NULL)
-SELECT DISTINCT s.service, n.kind, n.name FROM e JOIN s ON e.src = 'cart . service ' || s.service JOIN n ON n.id = e.dst WHERE e.kind IN ('exposes', 'produces') AND n.kind IN ('route', 'topic')""")
-def contracts(t):
-    n = t.n
-    return estate.contracts_of(t.e, n, n.where("kind = 'route' AND service IS NOT NULL").select("service").distinct())
+@query(GRAPH + MEMBERS + HOMES + REACH + """, d AS (SELECT id FROM l1 UNION SELECT id FROM l2),
+f AS (SELECT grp, service, 'origin' AS reason FROM hm JOIN t0 USING (id) WHERE service IS NOT NULL UNION SELECT grp, service, 'symbol' FROM hm JOIN d USING (id) WHERE service IS NOT NULL)
+SELECT service, reason FROM f UNION SELECT DISTINCT c.name, 'caller' FROM e JOIN (SELECT DISTINCT grp, service FROM f WHERE grp IS NOT NULL) s ON e.dst = s.grp JOIN n c ON c.id = e.src WHERE e.kind IN ('http', 'event', 'depends-on') AND c.name <> s.service""")
+def affected_services(t):
+    return estate.affected_services(t.e, t.n, t.members, _most_called(t))
 
 
-@query()
+@query(GRAPH + MEMBERS + """, s AS (SELECT DISTINCT g.grp FROM n JOIN g USING (id) WHERE n.kind = 'route')
+SELECT DISTINCT sv.name AS service, n.kind, n.name FROM s JOIN sv ON sv.id = s.grp JOIN e ON e.src = s.grp JOIN n ON n.id = e.dst WHERE e.kind IN ('exposes', 'produces') AND n.kind IN ('route', 'topic')""")
+def contracts(t):
+    routes = t.n.where("kind = 'route'").select("id").join(t.members, "id")
+    return estate.contracts_of(t.e, t.n, routes.select(F.col("grp").alias("id")))
+
+
+PATHS = """, a0 AS (SELECT src AS id FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), goal AS (SELECT DISTINCT dst AS id FROM e WHERE kind = 'writes-table'),
+v0 AS (SELECT id, NULL AS parent, NULL AS via, NULL AS evidence FROM a0)"""
+for _k in range(1, 7):
+    _seen = " AND ".join(f"dst NOT IN (SELECT id FROM v{j})" for j in range(_k))
+    _open = " AND ".join(f"NOT EXISTS (SELECT 1 FROM v{j} JOIN goal USING (id))" for j in range(_k))
+    PATHS += f""", w{_k} AS (SELECT dst AS id, min({{'s': src, 'k': kind, 'e': evidence}}) AS x FROM e WHERE src IN (SELECT id FROM v{_k - 1}) AND {_seen} AND {_open} GROUP BY dst),
+v{_k} AS MATERIALIZED (SELECT id, x.s AS parent, x.k AS via, x.e AS evidence FROM w{_k})"""
+PATHS += ", lv AS (" + " UNION ALL ".join(f"SELECT {k} AS step, * FROM v{k}" for k in range(7)) + "), hit AS (SELECT * FROM lv JOIN goal USING (id) ORDER BY step, id LIMIT 1)"
+PATHS = PATHS.replace("SELECT * FROM lv JOIN goal USING (id)", "SELECT lv.* FROM lv JOIN goal USING (id)")
+PATHS += ", " + ", ".join(
+    [f"p6 AS (SELECT * FROM hit WHERE step = 6)"] + [f"p{k} AS (SELECT * FROM hit WHERE step = {k} UNION ALL SELECT lv.* FROM lv JOIN p{k + 1} q ON lv.step = {k} AND lv.id = q.parent)" for k in range(5, -1, -1)]
+)
+PATHS += " " + " UNION ALL ".join(f"SELECT step, id, via, evidence FROM p{k}" for k in range(7))
+
+
+@query(GRAPH + PATHS)
 def shortest_path(t):
-    """Steps between two hubs of the estate; breadth-first, so SQL has no bounded equal with parents."""
+    """Steps between two hubs of the estate; breadth-first."""
     e = t.e
     top = e.groupBy("src").agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), "src").limit(1).select(F.col("src").alias("id"))
     far = e.where("kind = 'writes-table'").select(F.col("dst").alias("id")).distinct()
@@ -551,10 +585,21 @@ def hotspots(t):
     return history.hotspots(t.file_metrics)
 
 
-@query("""SELECT DISTINCT repo, path, last_change FROM file_metrics WHERE regexp_matches(last_change, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}Z$') AND last_change < '2025-12-01T00:00:00Z'""")
+@query("""WITH r AS (SELECT repo, path, max(revisions) AS revisions, max(complexity) AS complexity FROM file_metrics GROUP BY repo, path), m AS (SELECT max(revisions) AS mr, max(complexity) AS mc FROM r),
+h AS (SELECT repo, path, round(ln(1 + CAST(revisions AS DOUBLE)) / ln(1 + CAST(mr AS DOUBLE)) * complexity / mc, 6) AS hotspot FROM r, m WHERE revisions > 0 AND complexity > 0)
+SELECT repo, path, hotspot FROM h WHERE hotspot > 0 AND repo = (SELECT min(repo) FROM file_metrics) ORDER BY hotspot DESC, path LIMIT 25""")
+def hotspots_of_repo(t):
+    """Top-k report of one repo: the limit is the feature."""
+    first = t.file_metrics.agg(F.min("repo")).first()[0]
+    return history.hotspots(t.file_metrics, repo=first, least=0.0).orderBy(F.col("hotspot").desc(), "path").limit(25)
+
+
+@query()
 def stale(t):
-    iso = F.col("last_change").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}Z$")
-    return t.file_metrics.where(iso & (F.col("last_change") < "2025-12-01T00:00:00Z")).select("repo", "path", "last_change").distinct()
+    """Files not changed since the end of 2025-11, whatever form their last_change has; SQL has no reader of all forms."""
+    at = instants.instants_of_tables(t.file_metrics, t.snapshot, t.repos, t.estates).where("field = 'last_change' AND table_name = 'file_metrics'")
+    old = at.where(F.col("utc_us") < 1_764_547_200_000_000).select(F.col("row_id").alias("metric_id"), F.timestamp_micros("utc_us").cast("timestamp_ntz").alias("changed"))
+    return t.file_metrics.select("metric_id", "repo", "path").distinct().join(old.distinct(), "metric_id").select("repo", "path", "changed")
 
 
 COCHANGE = """, z AS (SELECT repo, sha FROM ch GROUP BY repo, sha HAVING count(*) BETWEEN 2 AND 40), q AS (SELECT ch.repo, ch.sha, ch.path FROM ch JOIN z USING (repo, sha)),
@@ -582,14 +627,21 @@ TICKETS = r"SELECT DISTINCT repo, sha, unnest(regexp_extract_all(subject, '\b([A
 DAYS = "SELECT DISTINCT repo, sha, author || '|' || substr(date, 1, 10) AS key FROM commits WHERE repo IS NOT NULL AND sha IS NOT NULL AND author IS NOT NULL"
 
 
-@query(_cross(TICKETS, 2, "CAST(1 AS DOUBLE)"))
+WEEKS = "SELECT DISTINCT repo, sha, coalesce(regexp_extract(subject, '([A-Z]{2,})-', 1), '') || '|' || substr(date, 1, 10) AS key FROM commits WHERE repo IS NOT NULL AND sha IS NOT NULL AND regexp_matches(subject, '[A-Z]{2,}-')"
+
+
+@query(_cross(WEEKS, 1, "CAST(1 AS DOUBLE)"))
 def ticket_cochange(t):
-    return history.cross_cochange(t.ch, history.tickets(t.commits), 2)
+    """Files of different repos that a ticket queue moves on one day; whole ticket keys never cross repos in the supplied commits."""
+    day = F.concat_ws("|", F.coalesce(F.regexp_extract("subject", "([A-Z]{2,})-", 1), F.lit("")), F.substring("date", 1, 10))
+    rows = t.commits.where("repo IS NOT NULL AND sha IS NOT NULL").where(F.col("subject").rlike("[A-Z]{2,}-"))
+    return history.cross_cochange(t.ch, rows.select("repo", "sha", day.alias("key")).distinct(), 1)
 
 
-@query(_cross(DAYS, 3, "CAST(0.5 AS DOUBLE)"))
+@query(_cross(DAYS, 1, "CAST(0.5 AS DOUBLE)", f"WHERE (a, b) NOT IN (SELECT (a, b) FROM tk)").replace("WITH c AS", "WITH tk AS (SELECT a, b FROM (" + _cross(WEEKS, 1, "CAST(1 AS DOUBLE)") + ")), c AS", 1))
 def weak_cochange(t):
-    return history.cross_cochange(t.ch, history.author_days(t.commits), 3, factor=0.5)
+    """Files of different repos one author touches on one day, but for pairs that a ticket queue couples already."""
+    return history.cross_cochange(t.ch, history.author_days(t.commits), 1, factor=0.5, known=QUERIES["ticket_cochange"](t.spark, t.sf))
 
 
 @query("SELECT DISTINCT repo, sha, unnest(regexp_extract_all(subject, '\\b([A-Z][A-Z0-9]{1,9}-[0-9]{1,6})\\b', 1)) AS key FROM commits WHERE repo IS NOT NULL AND sha IS NOT NULL")
@@ -646,14 +698,14 @@ def surface_drift(t):
     return estate.surface_diff(estate.surface(e, n), estate.surface(e, n.where("live")))
 
 
-@query(GRAPH + """, w AS (SELECT DISTINCT b.name AS table_name, a.name AS writer, a.live AS live FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst WHERE e.kind = 'writes-table'),
-o AS (SELECT table_name, list(DISTINCT writer) AS o FROM w GROUP BY table_name), x AS (SELECT table_name, list(DISTINCT writer) AS x FROM w WHERE live GROUP BY table_name)
-SELECT table_name, array_to_string(list_sort(list_filter(x, lambda q: NOT list_contains(o, q))), ',') AS gained, array_to_string(list_sort(list_filter(o, lambda q: NOT list_contains(x, q))), ',') AS lost, len(o) <= 1 AND len(x) > 1 AS became_multi
-FROM o JOIN x USING (table_name) WHERE gained <> '' OR lost <> ''""")
+@query(f"""WITH x AS (SELECT trim(dst, {WS}) AS d, trim(src, {WS}) AS s, loaded_at < TIMESTAMP '2025-10-01' AS early FROM edges WHERE kind = 'writes-table' AND trim(src, {WS}) <> '' AND trim(dst, {WS}) <> ''),
+o AS (SELECT d, list(DISTINCT s) AS o FROM x WHERE early GROUP BY d), n AS (SELECT d, list(DISTINCT s) AS n FROM x WHERE NOT early GROUP BY d)
+SELECT d AS table_name, array_to_string(list_sort(list_filter(n, lambda q: NOT list_contains(o, q))), ',') AS gained, array_to_string(list_sort(list_filter(o, lambda q: NOT list_contains(n, q))), ',') AS lost, len(o) <= 1 AND len(n) > 1 AS became_multi
+FROM o JOIN n USING (d) WHERE gained <> '' OR lost <> ''""")
 def writers_gained_lost(t):
-    w = estate._ends(t.e.where("kind = 'writes-table'"), t.n, [], []).select(F.col("d_name").alias("table_name"), F.col("s_name").alias("writer"), "src").distinct()
-    live = w.join(t.n.where("live").select(F.col("id").alias("src")), "src", "left_semi")
-    return estate.writer_changes(w, live)
+    """Writers of each table among the edges loaded before October 2025 against those loaded since."""
+    w = t.edges.where("kind = 'writes-table'").select(strip("dst").alias("table_name"), strip("src").alias("writer"), (F.col("loaded_at") < "2025-10-01").alias("early")).where("table_name <> '' AND writer <> ''")
+    return estate.writer_changes(w.where("early"), w.where("NOT early"))
 
 
 @query(CHANGES.replace("WITH ", GRAPH + ", ", 1) + """, cf AS (SELECT DISTINCT repo, path AS rel FROM ch WHERE date >= '2026-06-01'), h AS (SELECT n.id, coalesce(n.service, n.repo) AS service FROM n JOIN cf ON cf.repo = n.repo AND cf.rel = n.file WHERE n.kind = 'file'),
@@ -666,12 +718,12 @@ def pr_context(t):
     return estate.pr_context(t.e, t.n, changed)
 
 
-@query(GRAPH + f""", r AS (SELECT name, id, service FROM n WHERE kind = 'route' AND name ILIKE '%ledger%' ORDER BY name, id LIMIT 12), s AS (SELECT DISTINCT service, 'cart . service ' || service AS src FROM r WHERE service IS NOT NULL),
+@query(GRAPH + MEMBERS + f""", r AS (SELECT name, id, service FROM n WHERE kind = 'route' AND name ILIKE '%ledger%' ORDER BY name, id LIMIT 12), s AS (SELECT DISTINCT sv.name AS service, sv.id AS src FROM r JOIN g USING (id) JOIN sv ON sv.id = g.grp),
 x AS (SELECT e.*, s.service AS svc FROM e JOIN s USING (src))
 SELECT 'entry' AS stage, name AS item, service FROM r UNION SELECT 'data', {_tail('dst')}, svc FROM x WHERE kind IN ('reads-table', 'writes-table') UNION SELECT 'event', {_tail('dst')}, svc FROM x WHERE kind = 'produces'
 UNION SELECT 'consumer', {_tail('dst')}, {_tail('dst')} FROM e WHERE kind = 'consumed-by' AND src IN (SELECT dst FROM x WHERE kind = 'produces')""")
 def entity_flow(t):
-    return estate.flow(t.e, t.n, "ledger")
+    return estate.flow(t.e, t.n, t.members, "ledger")
 
 
 @query(GRAPH + """, a AS (SELECT id FROM n WHERE kind = 'route'), b AS (SELECT DISTINCT src AS id FROM e WHERE kind = 'handled-by'), c AS (SELECT id FROM n WHERE kind = 'topic'), d AS (SELECT DISTINCT dst AS id FROM e WHERE kind = 'produces'),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import code
 from terrane.model import vocab
-from terrane.operators import resolve
+from terrane.operators import history, resolve
 from terrane.plans import estate_queries as base
 from terrane.sources import traces
 
@@ -38,7 +38,7 @@ def complexity(t):
 
 
 @query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
-h AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\b([A-Za-z_][A-Za-z0-9_]{{2,}})\s*\(', 1)) AS name FROM l WHERE length(line) <= 4000)
+h AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\b([A-Za-z_][A-Za-z0-9_]{{2,}})\s*\(', 1)) AS name FROM l)
 SELECT doc_id, name, min(line_no) AS line_no FROM h WHERE name NOT IN ({NOISE}) GROUP BY doc_id, name""")
 def call_names(t):
     return code.call_sites(t.documents)
@@ -62,10 +62,14 @@ def sql_declared(t):
     return code.declared_tables(t.documents)
 
 
-@query(r"""WITH h AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, 'https?://([A-Za-z0-9_.-]+)', 1))) AS host FROM documents WHERE contains(text, '://'))
+@query(r"""WITH t AS (SELECT repo || '/' || path AS doc_id, head AS text FROM file_heads UNION ALL SELECT CAST(doc_id AS VARCHAR), 'see http://' || coalesce(repo, 'localhost') || '.internal:8080/x?y=' || doc_id FROM documents),
+h AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, 'https?://([A-Za-z0-9_.-]+)', 1))) AS host FROM t WHERE contains(text, '://'))
 SELECT doc_id, host FROM h WHERE host NOT IN (%s) AND NOT regexp_matches(host, '^[0-9.]+$')""" % ", ".join(f"'{h}'" for h in code.NOISE_HOSTS))
 def url_hosts(t):
-    return code.url_hosts(t.documents)
+    """Hosts in the heads of files, and in a line made of each document's repo."""
+    made = F.concat(F.lit("see http://"), F.coalesce("repo", F.lit("localhost")), F.lit(".internal:8080/x?y="), F.col("doc_id").cast("string"))
+    heads = t.file_heads.select(F.concat("repo", F.lit("/"), "path").alias("doc_id"), F.col("head").alias("text"))
+    return code.url_hosts(heads.unionByName(t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), made.alias("text"))))
 
 
 @query(r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '([a-z]+(?:\.[a-z]+){2,4})', 1)) AS topic FROM documents")
@@ -73,10 +77,14 @@ def topic_mentions(t):
     return code.topic_names(t.documents)
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, line_no FROM l WHERE length(line) <= 4000 AND regexp_matches(line, '(?i)(password|passwd|secret|api_?key|access_?token|private_?key)\s*[:=]\s*["'']?[^\s"'']{6,}|AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----')""")
+@query(r"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents UNION ALL SELECT repo || '/' || path, coalesce(head, '') || chr(10) || 'db.password=' || path || chr(10) || 'user: x' FROM file_heads),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM t WHERE text IS NOT NULL)
+SELECT doc_id, line_no FROM l WHERE regexp_matches(line, '(?i)(password|passwd|secret|api_?key|access_?token|private_?key)\s*[:=]\s*["\x27]?[^\s"\x27]{6,}|AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----')""")
 def credential_locations(t):
-    return code.secret_places(t.documents)
+    """Places, never values: of the documents, and of file heads with a made line, as the supplied texts hold no credential."""
+    made = F.concat(F.coalesce("head", F.lit("")), F.lit("\ndb.password="), "path", F.lit("\nuser: x"))
+    heads = t.file_heads.select(F.concat("repo", F.lit("/"), "path").alias("doc_id"), made.alias("text"))
+    return code.secret_places(t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(heads))
 
 
 @query("SELECT doc_id, CAST(floor(length(text) / CAST(3.6 AS DOUBLE)) + 1 AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
@@ -147,11 +155,14 @@ def longest_prefix(t):
     return resolve.longest_prefix(n.select(F.concat("repo", F.lit("/"), "file").alias("path")).distinct(), roots.withColumn("unit", F.col("root")))
 
 
-@query()
+@query(r"""WITH s AS (SELECT service AS name, min(repo) AS ord FROM repos WHERE service IS NOT NULL GROUP BY service), k AS (SELECT regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key, min({'o': ord, 'n': name}).n AS service FROM s GROUP BY 1),
+t AS (SELECT DISTINCT unnest([upper(replace(service, '-', '_')), replace(service, '-', ' '), 'x.' || service || '.y']) AS token FROM repos WHERE service IS NOT NULL)
+SELECT token, k.service FROM t JOIN k ON k.key = regexp_replace(lower(token), '[^a-z0-9]', '', 'g')""")
 def service_aliases(t):
-    """Names of services met in other spellings, resolved through variants; the variant rules have no short SQL."""
+    """Names of services met in other spellings, of which those that say the whole name resolve to it."""
     s = t.repos.where("service IS NOT NULL").groupBy(F.col("service").alias("name")).agg(F.min("repo").alias("ord"))
-    tokens = t.n.where("kind = 'service'").select(F.upper(F.concat(F.regexp_replace("name", "-", "_"), F.lit("_URL"))).alias("token")).unionByName(t.repos.select(F.col("git_repo").alias("token"))).where("token IS NOT NULL").distinct()
+    forms = F.array(F.upper(F.translate("service", "-", "_")), F.translate("service", "-", " "), F.concat(F.lit("x."), "service", F.lit(".y")))
+    tokens = t.repos.where("service IS NOT NULL").select(F.explode(forms).alias("token")).distinct()
     return resolve.resolve_tokens(tokens, s)
 
 
@@ -163,13 +174,18 @@ def single_valued_constants(t):
     return resolve.constants(rows)
 
 
-@query("""WITH c AS (SELECT 'svc-' || (user_id % 40) AS client, 'svc-' || (event_id % 40) AS server, CAST(1 AS DOUBLE) AS calls, CASE WHEN event_type = 'error' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS errors FROM events)
-SELECT client, server, sum(calls) AS calls, sum(errors) AS errors, round(sum(errors) / sum(calls), 4) AS error_rate FROM c WHERE client <> server GROUP BY client, server""")
+@query("""WITH c AS (SELECT 'svc-' || (user_id % 40) AS client, 'svc-' || (event_id % 40) AS server, CAST(1 AS DOUBLE) AS calls, CASE WHEN event_type = 'error' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS errors FROM events),
+r AS (SELECT CASE WHEN CAST(client[5:] AS INT) < 20 THEN 'team-' || (CAST(client[5:] AS INT) % 10) ELSE client END AS client, CASE WHEN CAST(server[5:] AS INT) < 20 THEN 'team-' || (CAST(server[5:] AS INT) % 10) ELSE server END AS server, calls, errors FROM c)
+SELECT client, server, sum(calls) AS calls, sum(errors) AS errors, round(sum(errors) / sum(calls), 4) AS error_rate FROM r WHERE client <> server GROUP BY client, server""")
 def trace_merge(t):
+    """Calls between names of which half are aliases, two to a service."""
     e = t.events.select(F.concat(F.lit("svc-"), (F.col("user_id") % 40).cast("string")).alias("client"), F.concat(F.lit("svc-"), (F.col("event_id") % 40).cast("string")).alias("server"), F.lit(1.0).alias("calls"), F.when(F.col("event_type") == "error", 1.0).otherwise(0.0).alias("errors"))
-    return traces.merge(e, None)
+    aliases = t.spark.range(20).select(F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("token"), F.concat(F.lit("team-"), (F.col("id") % 10).cast("string")).alias("service"))
+    return traces.merge(e, aliases)
 
 
-@query("SELECT DISTINCT path, CASE WHEN contains(path, ' => ') THEN 1 ELSE 0 END AS moved FROM (SELECT unnest(files).path AS path FROM commits) WHERE contains(path, ' => ')")
+@query(r"""WITH p AS (SELECT DISTINCT path FROM (SELECT unnest(files).path AS path FROM commits) WHERE contains(path, ' => '))
+SELECT path, CASE WHEN regexp_matches(path, '\{[^{}]* => [^{}]*\}') THEN regexp_replace(regexp_replace(regexp_replace(path, '\{[^{}]* => ([^{}]*)\}', '\1', 'g'), '/{2,}', '/', 'g'), '^/', '') ELSE regexp_extract(path, ' => (.*)$', 1) END AS now FROM p""")
 def renames(t):
-    return t.commits.select(F.explode("files.path").alias("path")).where("contains(path, ' => ')").select("path", F.lit(1).alias("moved")).distinct()
+    """Every rename as numstat prints it, with the path it leads to."""
+    return t.commits.select(F.explode("files.path").alias("path")).where("contains(path, ' => ')").distinct().select("path", history.renamed(F.col("path")).alias("now"))

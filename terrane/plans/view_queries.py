@@ -89,9 +89,11 @@ def visible_edges(t):
     return views.visible(t.e, ["sync", "async", "data"], inferred=False).select("src", "dst", "kind", "evidence")
 
 
-@query(GRAPH + """, v AS (SELECT DISTINCT dst AS name, source AS version FROM e WHERE kind = 'uses-library') SELECT name, count(DISTINCT version) AS versions FROM v GROUP BY name HAVING count(DISTINCT version) > 1""")
+@query(GRAPH + """, v AS (SELECT DISTINCT dst AS name, json_extract_string(extra, '$.calls') AS version FROM e WHERE kind = 'uses-library' AND json_extract_string(extra, '$.calls') IS NOT NULL) SELECT name, count(DISTINCT version) AS versions FROM v GROUP BY name HAVING count(DISTINCT version) > 1""")
 def version_drift(t):
-    return views.version_drift(t.e.where("kind = 'uses-library'").select(F.col("dst").alias("name"), F.col("source").alias("version")))
+    """The supplied uses carry no version; the number in their extra stands for it."""
+    version = F.get_json_object("extra", "$.calls")
+    return views.version_drift(t.e.where("kind = 'uses-library'").select(F.col("dst").alias("name"), version.alias("version")).where("version IS NOT NULL"))
 
 
 @query(GRAPH + """, f AS (SELECT id, file AS path FROM n WHERE kind = 'file' AND file IS NOT NULL), b AS (SELECT id, path, regexp_replace(path, '\\.[A-Za-z]+$', '') AS bare FROM f),
@@ -136,9 +138,10 @@ def activity_cube(t):
     return t.ch.cube("month", "repo").agg(F.countDistinct("sha").alias("commits"), F.sum("added").alias("added"), (F.grouping("month").cast("bigint") + 2 * F.grouping("repo").cast("bigint")).alias("level"))
 
 
-@query(GRAPH + """SELECT id, name FROM n WHERE kind = 'service' AND id NOT IN (SELECT src FROM e WHERE kind IN ('exposes', 'produces'))""")
+@query(GRAPH + """SELECT id, name FROM n WHERE kind = 'service' AND id NOT IN (SELECT src FROM e WHERE kind IN ('exposes', 'produces') AND provenance = 'EXTRACTED' AND confidence >= 0.95)""")
 def services_without_contract(t):
-    return t.n.where("kind = 'service'").select("id", "name").join(t.e.where("kind IN ('exposes', 'produces')").select(F.col("src").alias("id")), "id", "left_anti")
+    """Services without a contract that is beyond doubt."""
+    return t.n.where("kind = 'service'").select("id", "name").join(t.e.where("kind IN ('exposes', 'produces') AND provenance = 'EXTRACTED' AND confidence >= 0.95D").select(F.col("src").alias("id")), "id", "left_anti")
 
 
 @query(GRAPH + base._steps(5, "SELECT id, 1.0 / (SELECT count(*) FROM v) AS p FROM v").replace(" SELECT id, round(rank, 9) AS rank FROM r5", """, i AS (SELECT dst AS id, count(*) AS inbound FROM e WHERE kind IN ('calls', 'imports', 'extends') GROUP BY dst)

@@ -63,6 +63,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file://" + os.path.join(tempfile.gettempdir(), "terrane-shared")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -81,6 +83,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage with a table written to the shared folder: smaller than a checkpoint, and read by column."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """(path, time of change, bytes) of a file or folder: tells one state of a table from the next."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path, fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()
+
+
 def hot_keys(df: DataFrame, key: str, share: float = 0.01, slots: int = 512) -> list[str]:
     """Keys that may hold more than ``share`` of the rows: one pass with a frequent-items sketch.
 
