@@ -12,13 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.session import cut
+from terrane.session import written
 
 #: File extensions and the language whose naming they follow.
 LANGUAGES = {
@@ -402,7 +401,7 @@ def scored(file_metrics: DataFrame, file_heads: DataFrame, without: tuple[str, .
     )
     h = file_heads.where("path IS NOT NULL").groupBy(own("repo").alias("r"), "path").agg(F.max("head").alias("head"), F.max("n_bytes").alias("n_bytes"), F.max("longest_line").alias("longest_line"))
     files = m.join(h, ["r", "path"], "left").withColumn("lang", language(F.col("path"))).drop("r")
-    seen = cut(evidence(files, train(file_heads.where("path IS NOT NULL").select("head", language(F.col("path")).alias("lang"))), without))
+    seen = written(evidence(files, train(file_heads.where("path IS NOT NULL").select("head", language(F.col("path")).alias("lang"))), without), "evidence")
     shared = files.sparkSession.sparkContext.broadcast(mixture(seen))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

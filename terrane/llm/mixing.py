@@ -43,12 +43,17 @@ class Plan:
         return self.passes * self.available + sum(k * n for k, n in self.take.items())
 
 
-def fit(counts: dict[int, int], budget: int, exact_below: int = 20_000) -> dict[int, int]:
+#: The least remaining budget, in tokens, that dynamic programming fills.
+REMAINDER = 20_000
+
+
+def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length come nearest to ``budget`` tokens from below.
 
-    Bounded knapsack over lengths. While the rest is far larger than any document, the longest documents are laid down in
-    proportion to what there is (so the selection keeps the source's mix of lengths); the last ``exact_below`` tokens are
-    filled by dynamic programming over reachable sums. Its work is lengths x exact_below, whatever the corpus size.
+    The remaining budget is the last REMAINDER tokens, or four of the longest documents if that is more; it is filled by a
+    bounded-knapsack programme over reachable sums, whose work is lengths x remaining budget, whatever the corpus size. What is above it
+    is laid down before, in proportion to what there is of each length, so the selection keeps the source's mix of lengths. A budget
+    within the remainder is met as nearly as any selection can; beyond it the gap is at most that of the last programme, and is reported.
     """
     left = {k: n for k, n in counts.items() if k > 0 and n > 0}
     total = sum(k * n for k, n in left.items())
@@ -56,6 +61,7 @@ def fit(counts: dict[int, int], budget: int, exact_below: int = 20_000) -> dict[
     if budget >= total:
         return left
     rest = budget
+    exact_below = max(REMAINDER, 4 * max(left))
     if rest > exact_below:
         share = (rest - exact_below // 2) / total
         for k in left:
@@ -167,7 +173,7 @@ def selection(sized: DataFrame, plans: list[Plan], seed: int = 0) -> DataFrame:
 
 
 def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None, seed: int = 0, tokenizer_path: str = tokenizer.DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(selection, report). The report has every target: tokens available and used, documents, target and reached share.
+    """(selection, report). The report has every target: tokens available and used, the gap to its budget, documents, target and reached share.
 
     Repeated documents (by doc_id) count once. Target rows with a null source are left out; of several rows
     for one source the least weight and repeats hold. Documents without tokens are never used.
@@ -191,7 +197,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: int | None = None,
     all_ = sum(p.tokens for p in plans)
     report = goal.join(got, "source", "left").select(
         "source", "weight", F.when(F.col("budget") > 0, F.col("weight") / F.lit(live or 1.0)).otherwise(0.0).alias("target_share"), "budget", "available_tokens",
-        F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
+        F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.col("budget") - F.coalesce("tokens", F.lit(0))).alias("gap"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
         (F.coalesce("tokens", F.lit(0)) / F.lit(float(all_ or 1))).alias("actual_share"),
     )
     return chosen, report

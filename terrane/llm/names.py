@@ -347,17 +347,22 @@ def links(names: DataFrame) -> DataFrame:
     return full.mapInPandas(verify, "name_a string, name_b string, brief string")
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
-    """(name, entity): the least name that each name is connected with; joins and checkpoints only."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, entity): the least name that each name is connected with; joins and checkpoints only.
+
+    Each round takes the least entity of the neighbours and then that entity's own, so that rounds grow with the logarithm of the longest
+    chain; it goes on until nothing moves.
+    """
     both = cut(edges.select(F.col("name_a").alias("x"), F.col("name_b").alias("y")).unionByName(edges.select(F.col("name_b").alias("x"), F.col("name_a").alias("y"))))
     at = cut(nodes.select("name", F.col("name").alias("entity")))
-    for _ in range(most):
+    while True:
         heard = both.join(at, both["y"] == at["name"]).groupBy("x").agg(F.min("entity").alias("least"))
-        new = cut(at.join(heard, at["name"] == heard["x"], "left").select("name", F.least("entity", F.coalesce("least", "entity")).alias("entity"), (F.col("least") < F.col("entity")).alias("moved")))
+        near = at.join(heard, at["name"] == heard["x"], "left").select("name", F.col("entity").alias("was"), F.least("entity", F.coalesce("least", "entity")).alias("entity"))
+        hop = at.select(F.col("name").alias("entity"), F.col("entity").alias("root"))
+        new = cut(near.join(hop, "entity").select("name", F.col("root").alias("entity"), (F.col("root") < F.col("was")).alias("moved")))
         at = new.select("name", "entity")
         if new.where("moved").isEmpty():
-            break
-    return at
+            return at
 
 
 def entities(names: DataFrame) -> DataFrame:
@@ -386,16 +391,21 @@ def entities(names: DataFrame) -> DataFrame:
     )
 
 
-def found(ownership: DataFrame, file_metrics: DataFrame) -> DataFrame:
-    """p5_found: (name_a, name_b), all pairs of different spellings of one entity, as stored.
+def members(ownership: DataFrame, file_metrics: DataFrame) -> DataFrame:
+    """(name, entity): every spelling, as stored, with the least spelling of its entity; the whole result in one row a name.
 
     Null and blank names are no names. Repeats count once. Names that differ only in white space or case are variants.
     """
     names = cut(
         ownership.select(F.col("author").alias("name")).unionByName(file_metrics.select(F.col("main_author").alias("name")))
-        .where("name IS NOT NULL AND trim(name) <> ''").groupBy("name").agg(F.count("*").alias("uses")).select("name")
+        .where("name IS NOT NULL AND trim(name) <> ''").distinct()
     )
-    e = cut(entities(names))
+    return entities(names)
+
+
+def found(ownership: DataFrame, file_metrics: DataFrame) -> DataFrame:
+    """p5_found: (name_a, name_b), all pairs of different spellings of one entity, as stored."""
+    e = cut(members(ownership, file_metrics))
     return (
         e.select("entity", F.col("name").alias("name_a")).join(e.select("entity", F.col("name").alias("name_b")), "entity")
         .where("name_a < name_b").select("name_a", "name_b").distinct()

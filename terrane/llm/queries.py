@@ -20,6 +20,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.found(table(spark, sf, "ownership"), table(spark, sf, "file_metrics"))
 
 
+def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return names.members(table(spark, sf, "ownership"), table(spark, sf, "file_metrics"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return cooccur.found(table(spark, sf, "commits"))
 
@@ -49,5 +53,5 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split(table(spark, sf, "documents"), table(spark, sf, "size_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p5_found, p6_found, p6_scores, p7_found, p7_spans, p8_selection, p8_report, p9_pieces)}
-ORACLE: dict[str, str] = {"p6_found": cooccur.FOUND_SQL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p5_found, p5_entities, p6_found, p6_scores, p7_found, p7_spans, p8_selection, p8_report, p9_pieces)}
+ORACLE: dict[str, str] = {"p6_found": cooccur.FOUND_SQL, "p6_scores": cooccur.SCORES_SQL}

@@ -41,10 +41,11 @@ def classes(text: str, tokens: list[int], sizes: np.ndarray) -> tuple[str, np.nd
 
 
 def pattern(most: Column) -> Column:
-    """The rest if it fits; else up to ``most`` tokens, from half of that on, to the strongest boundary there; else to any character."""
+    """The rest if it fits; else up to ``most`` tokens, to the strongest boundary in the latter half of that, else in the former; else to any character."""
     upto, half = (most - 1).cast("string"), F.greatest(F.ceil(most / 2) - 1, F.lit(0)).cast("string")
     alternatives = [F.concat(F.lit(".{1,"), most.cast("string"), F.lit("}$"))]
-    alternatives += [F.concat(F.lit(".{"), half, F.lit(","), upto, F.lit("}" + c)) for c in (PARAGRAPH, LINE, SENTENCE, WORD)]
+    for least, last in ((half, upto), (F.lit("0"), half)):
+        alternatives += [F.concat(F.lit(".{"), least, F.lit(","), last, F.lit("}" + c)) for c in (PARAGRAPH, LINE, SENTENCE, WORD)]
     alternatives += [F.concat(F.lit(".{0,"), upto, F.lit("}[^" + INSIDE + "]")), F.concat(F.lit(".{1,"), most.cast("string"), F.lit("}"))]
     return F.concat_ws("|", *alternatives)
 
@@ -65,12 +66,12 @@ def split(
     rule = F.struct(F.col("max_tokens").alias("most"), F.col("overlap_tokens").alias("over"))
     listed = limits.where("source IS NOT NULL").select("source", rule.alias("own"))
     other = limits.where("source IS NULL").select(rule.alias("other"))
-    if listed.count() > 100_000:
-        raise ValueError("size_limits names more sources than fit a broadcast")
+    if listed.count() <= 100_000:  # some 40 bytes each; more of them meet the documents by a shuffle
+        listed = F.broadcast(listed)
     rest = other.first()
     default = F.struct(F.lit(rest["other"]["most"]).cast("int").alias("most"), F.lit(rest["other"]["over"]).cast("int").alias("over")) if rest else F.lit(None).cast("struct<most:int,over:int>")
     docs = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "source")
-    docs = docs.join(F.broadcast(listed), "source", "left").withColumn("rule", F.coalesce("own", default))
+    docs = docs.join(listed, "source", "left").withColumn("rule", F.coalesce("own", default))
     most = F.when(F.col("rule.most") > 0, F.col("rule.most"))
     docs = docs.select("doc_id", "text", most.cast("int").alias("most"), F.greatest(F.least(F.coalesce("rule.over", F.lit(0)), most - 1), F.lit(0)).cast("int").alias("over"))
 
@@ -109,27 +110,36 @@ def split(
     spans = F.when(long_, F.transform(F.sequence(F.lit(1), F.size("steps")), lambda i: F.struct(
         F.when(i == 1, 0).otherwise(F.greatest(F.element_at("cuts", i) - F.col("over"), F.lit(0))).alias("from"), F.element_at("cuts", i + 1).alias("to")
     ))).otherwise(whole)
-    pieces = sized.select("doc_id", "text", "ends", "signs", F.posexplode(spans).alias("piece", "span"))
-    start, stop = F.col("span.from"), F.col("span.to")
-    # a start within a character moves on to its end, so the overlap never exceeds what was asked
-    shift = F.when((F.col("signs") != "") & (start > 0), F.length(F.expr("regexp_substr(substring(signs, span.from), '^x+')"))).otherwise(F.lit(None))
-    begin = start + F.coalesce(shift, F.lit(0))
-    at = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at("ends", k.cast("int")))
-    out = pieces.withColumn("begin", begin).withColumn("first_char", F.when(F.col("signs") == "", F.lit(0)).otherwise(at(F.col("begin"))))
-    out = out.withColumn("last_char", F.when(F.col("signs") == "", F.length("text")).otherwise(at(stop)))
-    made = out.select(
-        "doc_id", F.col("piece").cast("int").alias("piece"), F.col("first_char").cast("int").alias("first_char"), F.col("last_char").cast("int").alias("last_char"),
-        (stop - F.col("begin")).cast("int").alias("n_tokens"),
-        F.substring("text", F.col("first_char") + 1, F.col("last_char") - F.col("first_char")).alias("text"), (F.col("signs") != "").alias("cut"),
-    )
-
-    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a text is sent here once and sliced by offset, however many pieces it has
         enc = tokenizer.load(tokenizer_path)
         for b in batches:
-            n = b.column(4).to_pylist()
-            for i, (t, c) in enumerate(zip(b.column(5).to_pylist(), b.column(6).to_pylist())):
-                if c and t and (t[-1].isspace() or t[:2].isspace()):  # only runs of white space at a rim may join
-                    n[i] = len(enc.encode_ordinary(t))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int32()), b.column(5)], ["doc_id", "piece", "first_char", "last_char", "n_tokens", "text"])
-
-    return made.mapInArrow(recount, f"doc_id {id_type}, piece int, first_char int, last_char int, n_tokens int, text string")
+            out: list[tuple] = []
+            ids, texts, signs, ends, spans_ = b.columns
+            for i, (t, s) in enumerate(zip(texts.to_pylist(), signs.to_pylist())):
+                at = ends[i].values.to_numpy(zero_copy_only=False) if s else None
+                for k, span in enumerate(spans_[i].as_py()):
+                    start, stop = span["from"], span["to"]
+                    if not s:
+                        out.append((i, k, 0, len(t), stop, t))
+                        continue
+                    while start and s[start - 1] == INSIDE:  # a start within a character moves on to its end, so the overlap never exceeds what was asked
+                        start += 1
+                    first, last = int(at[start - 1]) if start else 0, int(at[stop - 1])
+                    piece, n = t[first:last], stop - start
+                    if piece and (piece[-1].isspace() or piece[:2].isspace()):  # only runs of white space at a rim may join
+                        n = len(enc.encode_ordinary(piece))
+                    out.append((i, k, first, last, n, piece))
+                    if len(out) >= 4096:
+                        yield batch(ids, out)
+                        out = []
+            yield batch(ids, out)
+
+    def batch(ids: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+        cols = [[x[j] for x in out] for j in range(6)]
+        arrays = [pa.array(c, pa.int32()) for c in cols[1:5]]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *arrays, pa.array(cols[5], pa.string())], ["doc_id", "piece", "first_char", "last_char", "n_tokens", "text"])
+
+    made = sized.select("doc_id", "text", "signs", "ends", spans.alias("spans"))
+    return made.mapInArrow(emit, f"doc_id {id_type}, piece int, first_char int, last_char int, n_tokens int, text string")

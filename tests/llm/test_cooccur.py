@@ -34,10 +34,26 @@ def test_increments_equal_a_count_from_scratch(spark):
             now.pop(k, None) if v is None else now.__setitem__(k, v)
         got = {tuple(r) for r in state.scores().select("grp", "a", "b", "shared", "a_revs", "b_revs", "n").collect()}
         assert got == brute(now)
-    again = cooccur.PairTable(spark, state.root, buckets=4)  # the state outlives the job
+    again = cooccur.PairTable(spark, state.root)  # the state outlives the job
     assert {tuple(r)[:4] for r in again.scores().collect()} == {x[:4] for x in brute(now)}
 
 
+def test_a_late_older_delivery_changes_nothing_and_a_revert_withdraws(spark):
+    t = lambda d: datetime(2025, 1, d)
+    f = lambda *p: [(x, 1, 1) for x in p]
+    state = cooccur.PairTable(spark, scratch(spark, "t"))
+    step = lambda *rows: state.apply(cooccur.commit_baskets(spark.createDataFrame(list(rows), C)))
+    moved = step(*[("r", str(k), "x", f("a", "b"), t(5)) for k in range(4)], ("q", "0", "x", f("a"), t(5)))
+    assert rows(moved) == [("q",), ("r",)]
+    assert [tuple(r)[:7] for r in state.scores().collect()] == [("r", "a", "b", 4, 4, 4, 4)]
+    step(("r", "0", "x", f("a", "c"), t(1)))  # older than what is there
+    assert [tuple(r)[:7] for r in state.scores().collect()] == [("r", "a", "b", 4, 4, 4, 4)]
+    assert rows(step(("r", "0", "Revert it", f("a", "b"), t(9)))) == [("r",)]
+    assert [tuple(r)[:7] for r in state.scores().collect()] == [("r", "a", "b", 3, 3, 3, 3)]
+    assert step(("r", "1", "x", f("a", "b"), t(6))).count() == 0  # delivered again as it is
+    assert cooccur.PairTable(spark, state.root).scores().count() == 1
+
+
 def test_commit_rules(spark, clash):
     t = datetime(2025, 1, 1)
     f = lambda *p: [(x, 1, None) for x in p]

@@ -27,6 +27,13 @@ def test_fit_of_large_budgets_keeps_the_mix_and_hits_the_sum():
     assert sum(k * n for k, n in take.items()) == 5_000_001 and min(take.values()) > 300
 
 
+def test_fit_at_the_rim_of_the_remainder_is_seamless():
+    counts = {97: 400, 131: 300, 9000: 5}
+    for budget in (19_990, 20_000, 20_010, 35_990, 36_000, 36_010, 60_001):
+        take = mixing.fit(counts, budget)
+        assert all(n <= counts[k] for k, n in take.items()) and 0 <= budget - sum(k * n for k, n in take.items()) <= 1
+
+
 def test_plan_spreads_what_a_source_cannot_give():
     plans = {p.source: p for p in mixing.plan({"a": {1: 10}, "b": {1: 1000}}, [("a", 1.0, 2), ("b", 1.0, 1), ("c", 5.0, 9), ("d", 0.0, 1)], total=100)}
     assert (plans["a"].tokens, plans["b"].tokens, plans["c"].tokens, plans["d"].tokens) == (20, 80, 0, 0)
