@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 PASSAGE, ONE_IN, PHRASE = 20, 8, 6
 #: Symbols per index, and items searched at once: both bound memory, neither changes results.
-SHARD, BLOCK_CHARS = 400_000, 16_000_000
+SHARD, SHARD_CHARS, BLOCK_CHARS = 400_000, 64_000_000, 16_000_000
+FIELDS = ["doc_id", "item_id", "first_token", "last_token", "first_char", "last_char"]
 OTHER = 1
 
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,400}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _UNI = re.compile(r"\\u([0-9a-fA-F]{4})")
 _ESC = re.compile(r"\\[nrtfb]")
 #: Invisible characters that may stand inside a word.
@@ -46,6 +47,44 @@ def tokens(text: str) -> list[bytes]:
     return [w.encode("utf-8", "replace") for w in _WORD.findall(text.lower())]
 
 
+_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+#: A sign and what composes with it: combining marks, Hangul vowels and finals, voiced marks.
+_CLUSTER = re.compile(r"(?s).[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u0900-\u0903\u093c\u1160-\u11ff\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f\uff9e\uff9f]*")
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """(first, last) character, last exclusive, of each of ``tokens(text)`` in the text as it stands.
+
+    The same steps as in tokens(), each carrying for every sign where it came from; for the few texts that hold a passage.
+    """
+    origin = [(i, i + 1) for i in range(len(text))]
+
+    def sub(pattern: re.Pattern, by) -> None:
+        nonlocal text, origin
+        out, at, pos = [], [], 0
+        for m in pattern.finditer(text):
+            new = by(m)
+            out += [text[pos : m.start()], new]
+            at += origin[pos : m.start()]
+            at += [(origin[m.start()][0], origin[m.end() - 1][1])] * len(new)
+            pos = m.end()
+        out.append(text[pos:])
+        text, origin = "".join(out), at + origin[pos:]
+
+    if "\\" in text:
+        sub(_UNI, lambda m: chr(int(m[1], 16)))
+        sub(_ESC, lambda m: " ")
+    if "&" in text:
+        sub(_ENTITY, lambda m: html.unescape(m[0]))
+    if "<" in text:
+        sub(_TAG, lambda m: "")
+    if not text.isascii():
+        sub(_CLUSTER, lambda m: unicodedata.normalize("NFKC", m[0]))
+        sub(_INVISIBLE, lambda m: "")
+        sub(re.compile("(?s)."), lambda m: m[0].lower())
+    return [(origin[m.start()][0], origin[m.end() - 1][1]) for m in _WORD.finditer(text)]
+
+
 class FMIndex:
     """A wavelet matrix over the BWT of an integer sequence, with every ``sample``-th suffix position kept."""
 
@@ -219,8 +258,8 @@ class Items:
 _GAPS = sorted(((a, b) for a in range(7) for b in range(7) if a or b), key=lambda g: (max(g), sum(g)))
 
 
-def _search(items: Items, ids: list, docs: list[np.ndarray]) -> list[tuple]:
-    """(doc_id, item_id, first, last) for the documents of one shard."""
+def _search(items: Items, ids: list, docs: list[np.ndarray], texts: list[str]) -> list[tuple]:
+    """(doc_id, item_id, first, last, first_char, last_char) for the documents of one shard."""
     # Words of no item become separators; runs too short for any phrase become one, so the index holds what can match.
     parts, origin, owner = [], [], []
     for k, d in enumerate(docs):
@@ -249,6 +288,7 @@ def _search(items: Items, ids: list, docs: list[np.ndarray]) -> list[tuple]:
     out = []
     order = np.lexsort((pos, item, doc))
     seen: tuple | None = None
+    placed: tuple[int, list] = (-1, [])
     for r in order:
         key = (doc[r], item[r])
         if key != (seen and seen[0]):
@@ -260,7 +300,9 @@ def _search(items: Items, ids: list, docs: list[np.ndarray]) -> list[tuple]:
         on = np.flatnonzero(got >= 0)
         seen[1].update(zip(on.tolist(), got[on].tolist()))
         if span := items.passage(item[r], got):
-            out.append((ids[doc[r]], items.ids[item[r]], *span))
+            if placed[0] != doc[r]:
+                placed = int(doc[r]), places(texts[doc[r]])
+            out.append((ids[doc[r]], items.ids[item[r]], *span, placed[1][span[0]][0], placed[1][span[1]][1]))
     return out
 
 
@@ -268,7 +310,9 @@ _SEPARATOR = np.array([OTHER])
 
 
 def leaks(documents: DataFrame, eval_items: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, first_token, last_token): every passage of an item found in a document.
+    """(doc_id, item_id, first_token, last_token, first_char, last_char): every passage of an item found in a document.
+
+    Tokens are those of ``tokens``, last included; characters are those of the text as stored, from 0, last excluded.
 
     Null and empty texts hold nothing. Items of fewer than 20 words of their own cannot leak. Sentences found in several
     items don't count, nor do they interrupt a passage. Identical items each match. Equal documents each give rows.
@@ -307,11 +351,11 @@ def _shared_sentences(rows: DataFrame) -> set[str]:
 def _block(documents: DataFrame, items) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Items = items.value
-        ids, docs, size = [], [], 0
+        ids, docs, texts, size, chars = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            found = _search(q, ids, docs) if len(q.lengths) else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(4)], ["doc_id", "item_id", "first_token", "last_token"])
+            found = _search(q, ids, docs, texts) if len(q.lengths) else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(6)], FIELDS)
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -324,14 +368,15 @@ def _block(documents: DataFrame, items) -> DataFrame:
                     continue
                 ids.append(i)
                 docs.append(d.astype(np.int32))
-                size += known
-                if size >= SHARD or len(docs) >= 40_000:
+                texts.append(t)
+                size, chars = size + known, chars + len(t)
+                if size >= SHARD or chars >= SHARD_CHARS:
                     yield flush()
-                    ids, docs, size = [], [], 0
+                    ids, docs, texts, size, chars = [], [], [], 0, 0
         if docs:
             yield flush()
 
-    return documents.mapInArrow(search, "doc_id bigint, item_id bigint, first_token bigint, last_token bigint")
+    return documents.mapInArrow(search, ", ".join(f"{c} bigint" for c in FIELDS))
 
 
 def found(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
@@ -340,7 +385,7 @@ def found(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
 
 def removal_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """(doc_id, first_token, last_token, items): overlapping or touching passages of a document merged into one span."""
+    """(doc_id, first_char, last_char, items): the characters to cut from each text, last excluded; passages that overlap or have no word between them as one."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy("first_token", "last_token", "item_id")
@@ -349,6 +394,6 @@ def removal_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     return (
         got.withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("doc_id", "span")
-        .agg(F.min("first_token").alias("first_token"), F.max("last_token").alias("last_token"), F.countDistinct("item_id").alias("items"))
+        .agg(F.min("first_char").alias("first_char"), F.max("last_char").alias("last_char"), F.countDistinct("item_id").alias("items"))
         .drop("span")
     )

@@ -60,7 +60,10 @@ def test_repeats_ties_and_empty_tables(spark):
 def test_spans_merge(spark):
     d = spark.createDataFrame([(1, "x " + " ".join(WORDS[:24]) + " " + " ".join(WORDS[:24]))], "doc_id bigint, text string")
     i = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
-    assert rows(leaks.removal_spans(d, i)) == [(1, 1, 48, 1)]
+    (doc, first, last, n), = rows(leaks.removal_spans(d, i))
+    text = d.first()["text"]
+    assert (doc, n) == (1, 1) and leaks.tokens(text[first:last]) == leaks.tokens(text)[1:49]
+    assert rows(leaks.found(spark.createDataFrame([(1, text[:first] + text[last:])], d.schema), i)) == []
 
 
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
@@ -73,3 +76,11 @@ def test_blocks_of_items_change_nothing(spark, monkeypatch):
 @pytest.mark.parametrize("text,want", [("A_b-c", [b"a", b"b", b"c"]), ("café Ａ", ["café".encode(), b"a"]), ("\\u0041b", [b"ab"])])
 def test_tokens(text, want):
     assert leaks.tokens(text) == want
+
+
+def test_places_cut_the_text_as_it_stands():
+    texts = ["Café &amp; x &#233;t <b>bo</b>ld \\u0041bc \\n z\u200by ｶﾞ İI e\u0301", "plain text", "<" + "a" * 900 + "> b", "", "🙂 a_b"]
+    for t in texts:
+        got = leaks.places(t)
+        assert len(got) == len(leaks.tokens(t)) and all(0 <= i < j <= len(t) for i, j in got) and got == sorted(got)
+    assert [texts[0][i:j] for i, j in leaks.places(texts[0])][3:6] == ["bo</b>ld", "\\u0041bc", "z\u200by"]
