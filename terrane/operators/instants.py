@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.text import strip
-from terrane.session import cut, written
+from terrane.session import cut, small_methods
 
 #: Abbreviations of zones, in minutes east of UTC.
 ABBREVIATIONS = {
@@ -89,7 +89,8 @@ def _slots(values: DataFrame, value: str, tz: str, order: str, second_pass: floa
     c = F.col("_v")
     family = F.lit(None).cast("string")
     for fmt, test, pattern, _ in reversed(FAMILIES):
-        family = F.when(c.rlike(test) & c.rlike(pattern), F.lit(fmt)).otherwise(family)
+        # forms that begin with digits are told apart by their beginning alone; whether the rest fits shows when the parts are taken
+        family = F.when(c.rlike(test) if test[0] == "^" else c.rlike(test) & c.rlike(pattern), F.lit(fmt)).otherwise(family)
     family = F.when(c.rlike(NUMBER) & ~c.rlike(FAMILIES[1][1]), F.lit("number")).otherwise(family)
     taken = F.lit(None).cast("string")
     for fmt, _, pattern, groups in FAMILIES:
@@ -97,7 +98,7 @@ def _slots(values: DataFrame, value: str, tz: str, order: str, second_pass: floa
         if fmt == "ctime":
             form = form.replace("$9", "$9$7")  # the zone may stand before the year
         taken = F.when(F.col("_f") == fmt, F.regexp_replace(c, pattern, form)).otherwise(taken)
-    out = values.withColumn("_v", v).withColumn("_f", family).withColumn("_p", F.split(taken, "\x01"))
+    out = values.withColumn("_v", v).withColumn("_f", family).withColumn("_x", taken).withColumn("_p", F.when(F.col("_x").contains("\x01"), F.split("_x", "\x01")))
     g = {n: F.when(F.col("_p")[k] != "", F.col("_p")[k]) for k, n in enumerate(FIELDS)}
     year = F.when(F.length(g["year"]) == 2, F.concat(F.lit("20"), g["year"])).otherwise(g["year"]).cast("int")
     hour, minute, second = (F.coalesce(g[x].cast("int"), F.lit(0)) for x in ("hour", "minute", "second"))
@@ -243,10 +244,11 @@ def choose(
     first = lambda x: F.coalesce(*[F.when(F.col(f"_u{k}").isNotNull(), F.col(f"_{x}{k}")) for k in range(4)])
     several = sum((F.col(f"_u{k}").isNotNull().cast("int") for k in range(4)), F.lit(0)) > 1
     # a single reading travels in plain columns; the filter stands after the cut, or it would be pushed below and read each text again
-    blocks = written(read.select(
-        *dict.fromkeys([source, order, *keep]), first("f").alias("fmt"), first("u").alias("utc_us"), first("c").alias("cost"),
-        F.when(several, _readings()).alias("more"), F.spark_partition_id().alias("block"),
-    ), "readings").where("utc_us IS NOT NULL")
+    with small_methods(values.sparkSession):
+        blocks = cut(read.select(
+            *dict.fromkeys([source, order, *keep]), first("f").alias("fmt"), first("u").alias("utc_us"), first("c").alias("cost"),
+            F.when(several, _readings()).alias("more"), F.spark_partition_id().alias("block"),
+        )).where("utc_us IS NOT NULL")
     cell = "fmt string, utc_us bigint, cost double"
 
     def summaries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

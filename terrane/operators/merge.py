@@ -93,3 +93,9 @@ def cache_changes(cached: DataFrame, current: DataFrame) -> DataFrame:
         .withColumn("action", F.when(F.col("hash").isNull(), "prune").when(F.col("was").isNull() | (F.col("was") != F.col("hash")), "parse").otherwise("keep"))
         .select("key", F.coalesce("hash", "was").alias("hash"), "action")
     )
+
+
+def upsert_ranks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(kind, id, rank): the kinds of ``new`` replace their old rows whole, all others stay; keyed by kind and id, so kinds don't overwrite each other."""
+    kept = old.join(new.select("kind").distinct(), "kind", "left_anti").select("kind", "id", "rank")
+    return kept.unionByName(new.groupBy("kind", "id").agg(F.max("rank").alias("rank")))

@@ -161,3 +161,59 @@ def closest_module(names: DataFrame, modules_: DataFrame, least: int = 4) -> Dat
     around = m.select("module", pieces("module").alias("name")).join(n, "name").select("name", "module")
     size = F.least(F.length("name"), F.length("module"))
     return inside.unionByName(around).groupBy("name").agg(F.max(F.struct(size.alias("n"), "module"))["module"].alias("module"))
+
+
+def of_repos(nodes: DataFrame, edges: DataFrame, repos: DataFrame) -> DataFrame:
+    """(id) of the nodes a filter by ``repos`` (repo) leaves: those of the repos, and shared ones without a repo that touch one of them."""
+    own = nodes.join(repos.select("repo").distinct(), "repo", "left_semi").select("id")
+    ends = edges.select(F.col("src").alias("id"), F.col("dst").alias("near")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("near")))
+    touching = ends.join(own.select(F.col("id").alias("near")), "near", "left_semi").select("id").distinct()
+    return own.unionByName(nodes.where("repo IS NULL").select("id").join(touching, "id", "left_semi"))
+
+
+def capped(found: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """(category, detail): each detail of a category once, at most ``caps[category]`` of them, in order of the detail; others uncapped."""
+    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
+    once = found.select("category", "detail").distinct()
+    place = F.row_number().over(Window.partitionBy("category").orderBy("detail"))
+    limited = once.where(F.col("category").isin(*caps)).withColumn("place", place).where(F.col("place") <= max(caps.values())).where(F.col("place") <= F.element_at(cap, F.col("category"))).drop("place")
+    return once.where(~F.coalesce(F.col("category").isin(*caps), F.lit(False))).unionByName(limited)
+
+
+def repo_map(nodes: DataFrame, ranks: DataFrame, symbols: int = 12) -> DataFrame:
+    """(repo, file, score, names): files by half their own rank plus the ranks of their symbols, each with its best ``symbols`` names."""
+    n = nodes.where("repo IS NOT NULL AND file IS NOT NULL").select("id", "kind", "name", "repo", "file").join(ranks, "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
+    own = n.where("kind = 'file'").groupBy("repo", "file").agg(F.max("rank").alias("own"))
+    w = Window.partitionBy("repo", "file").orderBy(F.col("rank").desc(), "id")
+    inner = n.where("kind IN ('class', 'function')").withColumn("place", F.row_number().over(w))
+    # the sum takes every symbol, the names the first few
+    per = inner.groupBy("repo", "file").agg(F.sum("rank").alias("sum"), F.array_sort(F.collect_list(F.when(F.col("place") <= symbols, F.struct("place", "name")))).alias("few"))
+    got = own.join(per, ["repo", "file"], "full")
+    score = F.round(F.lit(0.5) * F.coalesce("own", F.lit(0.0)) + F.coalesce("sum", F.lit(0.0)), 6)
+    return got.select("repo", "file", score.alias("score"), F.array_join(F.transform(F.coalesce("few", F.array().cast("array<struct<place:int,name:string>>")), lambda x: x["name"]), ",").alias("names"))
+
+
+def package_nodes(nodes: DataFrame, ranks: DataFrame, service: str, depth: int, most: int = 40) -> DataFrame:
+    """(package, files, rank, left_out): the best ranked packages of a service, each row telling how many packages are left out."""
+    own = nodes.where((F.coalesce("service", "repo") == service) & F.col("file").isNotNull()).withColumn("package", graph.package_key(F.col("file"), depth))
+    per = own.join(ranks, "id", "left").groupBy("package").agg(F.countDistinct("file").alias("files"), F.round(F.sum(F.coalesce("rank", F.lit(0.0))), 6).alias("rank"))
+    whole = per.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("left_out"))
+    return per.orderBy(F.col("rank").desc(), "package").limit(most).crossJoin(F.broadcast(whole))
+
+
+def question_key(question: Column) -> Column:
+    """What two questions must share to be the same: the clause before a dash, letters and digits only, in lower case, 70 signs."""
+    return F.substring(F.regexp_replace(F.lower(F.substring_index(question, "\u2014", 1)), "[^a-z0-9]", ""), 1, 70)
+
+
+def age(since: Column, now: Column) -> Column:
+    """A time gone by in its largest whole unit: 5s, 3m, 2h, 4d."""
+    s = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(since.cast("timestamp"))
+    unit = lambda n, u: F.concat(F.floor(s / n).cast("string"), F.lit(u))
+    return F.when(s < 60, unit(1, "s")).when(s < 3600, unit(60, "m")).when(s < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+
+
+def sorted_json(text: Column) -> Column:
+    """A flat JSON object with its keys in order, values as they are written; null for what is none."""
+    entries = F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
+    return F.when(F.size(entries) >= 0, F.to_json(F.map_from_entries(entries)))

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,13 +85,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage with a table written to the shared folder: smaller than a checkpoint, and read by column."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Cuts lineage with a table written to the shared folder: smaller than a checkpoint, and read by column. Keeps no order and no partitions."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, expressions too long for the JVM's compiler are split instead of fused into one method that it only interprets."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def stamp(spark: SparkSession, path: str) -> tuple:
     """(path, time of change, bytes) of a file or folder: tells one state of a table from the next."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
