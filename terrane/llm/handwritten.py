@@ -37,6 +37,8 @@ MEASURES, SLOTS = 1024, 1 << 18
 TEMPER, ROUNDS = 0.3, 4
 #: A file added in at most YOUNG revisions of which WHOLE still stands starts as not hand-written, one cut by REWORKED in more than OLD as typed.
 YOUNG, WHOLE, OLD, REWORKED = 3, 0.94, 6, 0.15
+#: Files of one directory lie together and share most of their slots: plain numbers pack better than a dictionary.
+PACKED = {"compression": "zstd", "parquet.enable.dictionary": "false"}
 START = {"whole": 0.95, "typed": 0.01, "open": 0.1}
 
 _BYTE = np.arange(256)
@@ -335,11 +337,11 @@ def evidence(files: DataFrame, models: Models, without: tuple[str, ...] = ()) ->
                 typed = (f["revisions"] > OLD) & (f["lost"] > REWORKED)
             start = np.where(whole, START["whole"], np.where(typed, START["typed"], START["open"]))
             yield pa.RecordBatch.from_arrays(
-                [b["repo"], b["path"], *[pa.array(f[c], from_pandas=True) for c in BINS], pa.ListArray.from_arrays(pa.array(at), pa.array(slot.astype(np.int32))), pa.array(start)],
+                [b["repo"], b["path"], *[pa.array(f[c].astype(np.float32), from_pandas=True) for c in BINS], pa.ListArray.from_arrays(pa.array(at), pa.array(slot.astype(np.int32))), pa.array(start)],
                 ["repo", "path", *BINS, "slots", "start"],
             )
 
-    return files.mapInArrow(run, f"repo string, path string, {', '.join(f'{c} double' for c in BINS)}, slots array<int>, start double")
+    return files.mapInArrow(run, f"repo string, path string, {', '.join(f'{c} float' for c in BINS)}, slots array<int>, start double")
 
 
 def _log_odds(slots: pa.ListArray, weights: np.ndarray, prior: float) -> np.ndarray:
@@ -401,7 +403,7 @@ def scored(file_metrics: DataFrame, file_heads: DataFrame, without: tuple[str, .
     )
     h = file_heads.where("path IS NOT NULL").groupBy(own("repo").alias("r"), "path").agg(F.max("head").alias("head"), F.max("n_bytes").alias("n_bytes"), F.max("longest_line").alias("longest_line"))
     files = m.join(h, ["r", "path"], "left").withColumn("lang", language(F.col("path"))).drop("r")
-    seen = written(evidence(files, train(file_heads.where("path IS NOT NULL").select("head", language(F.col("path")).alias("lang"))), without), "evidence")
+    seen = written(evidence(files, train(file_heads.where("path IS NOT NULL").select("head", language(F.col("path")).alias("lang"))), without), "evidence", **PACKED)
     shared = files.sparkSession.sparkContext.broadcast(mixture(seen))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,7 +412,7 @@ def scored(file_metrics: DataFrame, file_heads: DataFrame, without: tuple[str, .
             s = pa.concat_arrays([s]) if s.offset else s
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(_log_odds(s, *shared.value))], [*b.schema.names[:-2], "score"])
 
-    return seen.mapInArrow(judge, f"repo string, path string, {', '.join(f'{c} double' for c in BINS)}, score double")
+    return seen.mapInArrow(judge, f"repo string, path string, {', '.join(f'{c} float' for c in BINS)}, score double")
 
 
 def kind(x: DataFrame) -> DataFrame:

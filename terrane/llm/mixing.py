@@ -43,17 +43,17 @@ class Plan:
         return self.passes * self.available + sum(k * n for k, n in self.take.items())
 
 
-#: The least remaining budget, in tokens, that dynamic programming fills.
+#: The remaining budget, in tokens, that dynamic programming fills.
 REMAINDER = 20_000
 
 
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length come nearest to ``budget`` tokens from below.
 
-    The remaining budget is the last REMAINDER tokens, or four of the longest documents if that is more; it is filled by a
-    bounded-knapsack programme over reachable sums, whose work is lengths x remaining budget, whatever the corpus size. What is above it
-    is laid down before, in proportion to what there is of each length, so the selection keeps the source's mix of lengths. A budget
-    within the remainder is met as nearly as any selection can; beyond it the gap is at most that of the last programme, and is reported.
+    The remaining budget is the last REMAINDER tokens; it is filled by a bounded-knapsack programme over reachable sums, longest lengths
+    first, whose work is lengths x remaining budget, whatever the corpus size. What is above it is laid down before, in proportion to
+    what there is of each length, so the selection keeps the source's mix of lengths. A budget within the remainder is met as nearly
+    as any selection can; beyond it the gap is that of the last programme, and is reported.
     """
     left = {k: n for k, n in counts.items() if k > 0 and n > 0}
     total = sum(k * n for k, n in left.items())
@@ -61,7 +61,7 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     if budget >= total:
         return left
     rest = budget
-    exact_below = max(REMAINDER, 4 * max(left))
+    exact_below = REMAINDER
     if rest > exact_below:
         share = (rest - exact_below // 2) / total
         for k in left:
@@ -74,7 +74,7 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
             left[k] -= more
             rest -= more * k
     rest = int(rest)
-    ks = [k for k, n in sorted(left.items()) if n > 0 and k <= rest]
+    ks = [k for k, n in sorted(left.items(), reverse=True) if n > 0 and k <= rest]
     # used[j][s]: fewest documents of length ks[j] with which sum s is first reached, -1 if s is not reached by then
     reached = np.zeros(rest + 1, dtype=bool)
     reached[0] = True

@@ -117,10 +117,12 @@ def split(
         for b in batches:
             out: list[tuple] = []
             ids, texts, signs, ends, spans_ = b.columns
+            flat, edges = spans_.flatten(), spans_.offsets.to_numpy()
+            froms, tos, base = flat.field(0).to_numpy(), flat.field(1).to_numpy(), edges[0]
             for i, (t, s) in enumerate(zip(texts.to_pylist(), signs.to_pylist())):
                 at = ends[i].values.to_numpy(zero_copy_only=False) if s else None
-                for k, span in enumerate(spans_[i].as_py()):
-                    start, stop = span["from"], span["to"]
+                for k, j in enumerate(range(edges[i] - base, edges[i + 1] - base)):
+                    start, stop = int(froms[j]), int(tos[j])
                     if not s:
                         out.append((i, k, 0, len(t), stop, t))
                         continue
