@@ -349,14 +349,14 @@ def instants_of_tables(file_metrics: DataFrame, snapshot: DataFrame, repos: Data
     """(table_name, row_id, field, value, utc_us) of file_metrics.first_change, last_change and snapshot.taken_at.
 
     The source of a value is its repo or estate and column. Snapshots are taken in the order they were loaded; files have but their
-    row ids. Exact redeliveries count once, a snapshot's at their first load. A repo or estate that is not listed gives UTC and no date
+    row ids; a redelivered row stands beside itself and changes no path. A repo or estate that is not listed gives UTC and no date
     order. A value whose only readings are against the declared order denotes no instant.
     """
     zone = lambda t, k: t.groupBy(k).agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order"))
     fields = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("first_change", "last_change")]
     fm = (
         file_metrics.select(F.lit("file_metrics").alias("table_name"), F.col("metric_id").alias("row_id"), F.col("repo").alias("owner"), F.inline(F.array(*fields)))
-        .distinct().withColumn("at", F.col("row_id"))
+        .withColumn("at", F.col("row_id"))
         .join(zone(repos, "repo").withColumnRenamed("repo", "owner"), "owner", "left")
     )
     sn = snapshot_values(snapshot).join(zone(estates, "estate").withColumnRenamed("estate", "owner"), "owner", "left")

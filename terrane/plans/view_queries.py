@@ -47,9 +47,10 @@ def file_view(t):
     return views.file_view(t.e, t.n, f["repo"], f["file"])
 
 
-@query()
+@query(GRAPH + base.PK + f""", s AS (SELECT min(service) FROM repos), m AS (SELECT id, CASE WHEN coalesce(service, repo) = (FROM s) AND file IS NOT NULL THEN 'package ' || {base._pkg(3)} WHEN kind IN ({base.TOPS}, 'table') THEN id END AS grp FROM k)
+SELECT a.grp AS source, b.grp AS target, e.kind, count(*) AS count FROM e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.dst WHERE a.grp <> b.grp AND (starts_with(a.grp, 'package ') OR starts_with(b.grp, 'package ')) GROUP BY ALL""")
 def service_view(t):
-    """Packages of the first service; its grouping equals package_rollup's, whose SQL covers it."""
+    """Packages of the first service and what they touch."""
     r = t.repos.where("service IS NOT NULL").orderBy("service").first()
     return views.service_view(t.e, t.n, r["service"], 3)
 

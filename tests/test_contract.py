@@ -1,6 +1,5 @@
 """Every core query runs on the smallest tables and, where it has SQL, gives the same rows in DuckDB."""
 
-import os
 from collections import Counter
 from pathlib import Path
 
@@ -35,17 +34,14 @@ def bag(pdf):
     return Counter(tuple(map(plain, r)) for r in pdf[sorted(pdf.columns)].astype(object).itertuples(index=False, name=None))
 
 
-#: One or two of each family; TERRANE_ALL=1 runs every query.
-SOME = (
-    "node_upsert edge_upsert coupling_upsert counts_by_kind find_nodes lonely_services enclosing_asof architecture_pairs waypoints data_matrix topic_states estate_rollup "
-    "package_depth pagerank_k blast_radius shortest_path cochange_pairs ticket_cochange main_author timeline_monthly hotspots surface_drift pr_context audit_ratio ack_keys "
-    "call_names sql_tables resolve_calls route_match trace_merge gaps questions p2_found p3_found p4_found"
-).split()
+#: Queries that may give no row on the smallest tables: their cases are rare, and sf0.01 has them.
+MAY_BE_EMPTY = set("services_without_contract lonely_services constants_substituted version_drift shortest_path bus_factor p4_undeclared stale".split())
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES) if os.environ.get("TERRANE_ALL") else SOME)
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
+    assert len(got) or name in MAY_BE_EMPTY
     if name in catalog.ORACLE:
         assert bag(got) == bag(duck.execute(catalog.ORACLE[name]).df())
 

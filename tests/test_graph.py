@@ -113,3 +113,36 @@ def test_code_machine():
 def test_task_terms(spark):
     r = spark.createDataFrame([("Please fix the OrderService and orderservice parser",)], "t string").select(code.task_terms(F.col("t"))).first()[0]
     assert r == ["OrderService", "Order", "Service", "parser"]
+
+
+def test_members_belong_to_the_service_of_their_estate(spark):
+    node = "id string, kind string, name string, repo string, service string, file string, extra string"
+    n = spark.createDataFrame([
+        ("cart . service north.pay", "service", "pay", None, "pay", None, None), ("cart . service south.pay", "service", "pay", None, "pay", None, None), ("cart . service south.ship", "service", "ship", None, "ship", None, None),
+        ("f1", "file", "A", "r1", "pay", "a", None), ("f2", "file", "B", "r2", "pay", "b", None), ("f3", "class", "C", "r1", "ship", "c", None), ("f4", "file", "D", "r9", "pay", "d", None), ("f5", "file", "E", "r3", None, "e", None),
+        ("t1", "table", "T", "r2", None, None, None), ("t2", "table", "U", "r2", "pay", None, None), ("q", "topic", "Q", "r1", "pay", None, None),
+    ], node)
+    repos = spark.createDataFrame([("r1", "north"), ("r2", "south"), ("r3", "south")], "repo string, estate string")
+    got = dict(rows(graph.estate_members(n, repos).where("id <> grp")))
+    # the north has no ship, but only one service is called so; of two called pay, an unknown estate says neither
+    assert got == {"f1": "cart . service north.pay", "f2": "cart . service south.pay", "f3": "cart . service south.ship", "t2": "cart . service south.pay"}
+    assert dict(rows(graph.estate_members(n, repos).where("id = grp"))) == {x: x for x in ("cart . service north.pay", "cart . service south.pay", "cart . service south.ship", "q")}
+
+
+def test_architecture_of_a_hand_made_graph(spark):
+    svc, tab = lambda x: f"cart . service {x}", lambda x: f"cart . table {x}"
+    n = spark.createDataFrame([(svc(x), "service", x, x, x) for x in "abc"] + [(tab(x), "table", x, None, None) for x in ("SHARED", "OWNED", "LONELY")] + [("cart . topic t", "topic", "t", None, None)], "id string, kind string, name string, repo string, service string")
+    e = spark.createDataFrame([
+        (svc("a"), svc("b"), "http", "x:1", "EXTRACTED"), (svc("a"), svc("b"), "http", "x:2", "INFERRED"), (svc("a"), "cart . topic t", "produces", "x:3", "EXTRACTED"), ("cart . topic t", svc("b"), "consumed-by", "x:4", "EXTRACTED"),
+        (svc("a"), tab("SHARED"), "writes-table", "x:5", "EXTRACTED"), (svc("b"), tab("SHARED"), "writes-table", "x:6", "EXTRACTED"), (svc("c"), tab("OWNED"), "writes-table", "x:7", "EXTRACTED"), (svc("a"), tab("OWNED"), "reads-table", "x:8", "EXTRACTED"),
+        (svc("c"), tab("LONELY"), "writes-table", "x:9", "EXTRACTED"), (svc("a"), svc("c"), "imports", "x:10", "EXTRACTED"), (svc("b"), svc("c"), "depends-on", "x:11", "EXTRACTED"), (svc("a"), svc("c"), "extends", "x:12", "EXTRACTED"),
+    ], "src string, dst string, kind string, evidence string, provenance string")
+    got = rows(estate.architecture_pairs(e, n).select("source", "target", "count", "provenance"))
+    assert got == [(svc("a"), svc("b"), 2, "INFERRED")]
+    w = {r["id"]: (r["writers"], r["significant"]) for r in estate.waypoints(e, n).collect()}
+    assert w[tab("SHARED")] == (2, True) and w[tab("OWNED")] == (1, False) and tab("LONELY") not in w
+
+
+def test_layers_of_a_long_chain(spark):
+    p = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(12)], "src string, dst string")
+    assert rows(graph.layering(p)) == [(f"n{k:03d}", k) for k in range(13)]
