@@ -96,3 +96,10 @@ def test_links_of_short_surnames(spark):
     got = against_brute_force(spark, vals)
     assert {("Bob Lee", "Robert Lee"), ("B. Lee", "Bob Lee"), ("Bob Lee", "blee"), ("K. Ng", "Kim Ng"), ("Bob L.", "Robert L."), ("James Wu", "Jim Wu")} <= got
     against_brute_force(spark, vals + [f"{g} Lee" for g in CROWD])  # common and short
+
+
+def test_entities_of_a_long_chain(spark):
+    n = spark.createDataFrame([(f"n{k:03d}",) for k in range(130)], "name string")
+    e = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(119)] + [("n125", "n126")], "name_a string, name_b string")
+    got = {r["name"]: r["entity"] for r in names.components(n, e).collect()}
+    assert got == {f"n{k:03d}": "n000" if k < 120 else "n125" if k == 126 else f"n{k:03d}" for k in range(130)}
