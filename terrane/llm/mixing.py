@@ -44,16 +44,17 @@ class Plan:
 
 
 #: The remaining budget, in tokens, that dynamic programming fills.
-REMAINDER = 20_000
+REMAINDER = 8_000
 
 
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length come nearest to ``budget`` tokens from below.
 
-    The remaining budget is the last REMAINDER tokens; it is filled by a bounded-knapsack programme over reachable sums, longest lengths
-    first, whose work is lengths x remaining budget, whatever the corpus size. What is above it is laid down before, in proportion to
-    what there is of each length, so the selection keeps the source's mix of lengths. A budget within the remainder is met as nearly
-    as any selection can; beyond it the gap is that of the last programme, and is reported.
+    The remaining budget is the last REMAINDER tokens; it is filled by a bounded-knapsack programme over reachable sums, whose work is
+    lengths x remaining budget, whatever the corpus size. What is above it is laid down before, in proportion to what there is of
+    each length, so the selection keeps the source's mix of lengths; both take the lengths in a scattered order, so that neither short
+    nor long documents are preferred. A budget within the remainder is met as nearly as any selection can; beyond it the gap is that
+    of the last programme, and is reported.
     """
     left = {k: n for k, n in counts.items() if k > 0 and n > 0}
     total = sum(k * n for k, n in left.items())
@@ -62,19 +63,24 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         return left
     rest = budget
     exact_below = REMAINDER
+    order = sorted(left, key=lambda k: k * 0x9E3779B97F4A7C15 % 2**64)
     if rest > exact_below:
         share = (rest - exact_below // 2) / total
-        for k in left:
-            take[k] = int(left[k] * share)
-        rest -= sum(k * n for k, n in take.items())
+        # fractions are carried from length to length, so that lengths of few documents get their share too
+        due = 0.0
+        for k in order:
+            due += left[k] * share
+            take[k] = max(0, min(int(due), left[k], rest // k))
+            due -= take[k]
+            rest -= k * take[k]
         left = {k: n - take[k] for k, n in left.items()}
-        for k in sorted(left, reverse=True):  # rounding may leave more than the programme's range
+        for k in order:  # what the carried rest left above the programme's range
             more = min(left[k], max(0, (rest - exact_below) // k))
             take[k] += more
             left[k] -= more
             rest -= more * k
     rest = int(rest)
-    ks = [k for k, n in sorted(left.items(), reverse=True) if n > 0 and k <= rest]
+    ks = [k for k in order if left[k] > 0 and k <= rest]
     # used[j][s]: fewest documents of length ks[j] with which sum s is first reached, -1 if s is not reached by then
     reached = np.zeros(rest + 1, dtype=bool)
     reached[0] = True
