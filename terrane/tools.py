@@ -38,8 +38,12 @@ def _ids(t: Tables, name: str) -> DataFrame:
 
 
 def _ranks(t: Tables, terms: str = "") -> DataFrame:
-    words = [w for w in terms.split() if len(w) > 2]
-    return graph.pagerank(graph.adjacency(t.e), graph.seeds_from_terms(t.n, words) if words else None)
+    """Ranks of the whole graph, seeded by the words of ``terms``; kept with the tables they were made of."""
+    words = tuple(sorted({w.lower() for w in terms.split() if len(w) > 2}))
+    kept = t.__dict__.setdefault("ranks", {})
+    if words not in kept:
+        kept[words] = graph.pagerank(graph.adjacency(t.e), graph.seeds_from_terms(t.n, list(words)) if words else None)
+    return kept[words]
 
 
 def _bus(t: Tables) -> DataFrame:

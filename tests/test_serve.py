@@ -21,7 +21,7 @@ def t(spark):
 ARGS = {
     "find": {"name": "ledger"}, "node": {"name": "none"}, "blast-radius": {"name": "none"}, "impact": {"name": "none"}, "path": {"source": "a", "target": "b", "hops": 1},
     "expand": {"source": "a", "target": "b"}, "service": {"service": "x"}, "packages": {"service": "x"}, "file": {"repo": "x", "file": "y"}, "flow": {"entity": "ledger"}, "pr-check": {"files": "x:y, z:w"},
-    "resolve": {"token": "X"}, "central": {"terms": "ledger"}, "map": {"task": "fix the ledger", "tokens": 400}, "rank": {"terms": "ledger"},
+    "resolve": {"token": "X"}, "central": {"terms": "ledger"}, "map": {"task": "ledger", "tokens": 400}, "rank": {"terms": "ledger"},
 }
 
 
