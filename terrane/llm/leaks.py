@@ -258,8 +258,8 @@ class Items:
 _GAPS = sorted(((a, b) for a in range(7) for b in range(7) if a or b), key=lambda g: (max(g), sum(g)))
 
 
-def _search(items: Items, ids: list, docs: list[np.ndarray], texts: list[str]) -> list[tuple]:
-    """(doc_id, item_id, first, last, first_char, last_char) for the documents of one shard."""
+def _search(items: Items, ids: list, docs: list[np.ndarray], texts: list[str] | None) -> list[tuple]:
+    """(doc_id, item_id, first, last, first_char, last_char) for the documents of one shard; no characters without ``texts``."""
     # Words of no item become separators; runs too short for any phrase become one, so the index holds what can match.
     parts, origin, owner = [], [], []
     for k, d in enumerate(docs):
@@ -300,19 +300,23 @@ def _search(items: Items, ids: list, docs: list[np.ndarray], texts: list[str]) -
         on = np.flatnonzero(got >= 0)
         seen[1].update(zip(on.tolist(), got[on].tolist()))
         if span := items.passage(item[r], got):
-            if placed[0] != doc[r]:
-                placed = int(doc[r]), places(texts[doc[r]])
-            out.append((ids[doc[r]], items.ids[item[r]], *span, placed[1][span[0]][0], placed[1][span[1]][1]))
+            chars = (None, None)
+            if texts is not None:
+                if placed[0] != doc[r]:
+                    placed = int(doc[r]), places(texts[doc[r]])
+                chars = placed[1][span[0]][0], placed[1][span[1]][1]
+            out.append((ids[doc[r]], items.ids[item[r]], *span, *chars))
     return out
 
 
 _SEPARATOR = np.array([OTHER])
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", chars: bool = True) -> DataFrame:
     """(doc_id, item_id, first_token, last_token, first_char, last_char): every passage of an item found in a document.
 
-    Tokens are those of ``tokens``, last included; characters are those of the text as stored, from 0, last excluded.
+    Tokens are those of ``tokens``, last included; characters are those of the text as stored, from 0, last excluded; null unless
+    ``chars``, as they cost a second, slower reading of the texts that hold a passage.
 
     Null and empty texts hold nothing. Items of fewer than 20 words of their own cannot leak. Sentences found in several
     items don't count, nor do they interrupt a passage. Identical items each match. Equal documents each give rows.
@@ -327,7 +331,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, doc_col: str = "doc_id",
     for b in range(blocks):
         block = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else rows
         items = spark.sparkContext.broadcast(Items([tuple(r) for r in block.orderBy("item_id", "text").collect()], shared))
-        parts.append(_block(documents.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")), items))
+        parts.append(_block(documents.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")), items, chars))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -348,13 +352,13 @@ def _shared_sentences(rows: DataFrame) -> set[str]:
     return {r["s"] for r in got.collect()}
 
 
-def _block(documents: DataFrame, items) -> DataFrame:
+def _block(documents: DataFrame, items, with_chars: bool) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Items = items.value
         ids, docs, texts, size, chars = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            found = _search(q, ids, docs, texts) if len(q.lengths) else []
+            found = _search(q, ids, docs, texts if with_chars else None) if len(q.lengths) else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(6)], FIELDS)
 
         for b in batches:
@@ -368,9 +372,11 @@ def _block(documents: DataFrame, items) -> DataFrame:
                     continue
                 ids.append(i)
                 docs.append(d.astype(np.int32))
-                texts.append(t)
-                size, chars = size + known, chars + len(t)
-                if size >= SHARD or chars >= SHARD_CHARS:
+                if with_chars:
+                    texts.append(t)
+                    chars += len(t)
+                size += known
+                if size >= SHARD or chars >= SHARD_CHARS or len(docs) >= 40_000:
                     yield flush()
                     ids, docs, texts, size, chars = [], [], [], 0, 0
         if docs:
@@ -381,7 +387,7 @@ def _block(documents: DataFrame, items) -> DataFrame:
 
 def found(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """p7_found: (doc_id, item_id)."""
-    return leaks(documents, eval_items).select("doc_id", "item_id").distinct()
+    return leaks(documents, eval_items, chars=False).select("doc_id", "item_id").distinct()
 
 
 def removal_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
