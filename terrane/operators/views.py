@@ -66,21 +66,49 @@ def with_keys(found: DataFrame, acks: DataFrame | None = None) -> DataFrame:
     return keyed.join(acks.select("key").distinct().withColumn("a", F.lit(True)), "key", "left").select("category", "detail", "key", F.coalesce("a", F.lit(False)).alias("hidden"))
 
 
-def questions(edges: DataFrame, nodes: DataFrame, bus: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+#: How many questions of each rule are asked.
+QUESTION_CAPS = {
+    "who owns the table": 5, "who reads the topic": 5, "who writes the topic": 5, "is the service alive": 5, "who else knows the file": 5, "who declares the table": 5,
+    "is the link real": 5, "what does the service offer": 5, "why do they change together": 5, "does the library need to be so common": 3, "which node do all lean on": 3,
+}
+
+
+def questions(edges: DataFrame, nodes: DataFrame, bus: DataFrame, coupled: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """(rule, subject, place): what to ask the owners, the most pressing of each rule up to its cap.
 
-    Rules: tables with several writers, topics without an end, services nobody calls, files one person holds (``bus`` with path and author_share).
+    Tables with several writers, read or written but nowhere declared; topics without a reader or a writer; services nobody calls, or that
+    offer nothing; links between services that are inferred only; files one person holds (``bus``: repo, path, author_share); files of
+    different directories that change together (``coupled``: a, b, degree); libraries most use; nodes most symbols depend on.
     """
-    caps = {"who owns the table": 5, "who reads the topic": 5, "is the service alive": 5, "who else knows the file": 5} | (caps or {})
-    w = estate.shared_tables(edges).where("writers > 1").select(F.lit("who owns the table").alias("rule"), F.col("id").alias("subject"), F.col("writers").cast("double").alias("weight"))
-    t = estate.topics(edges, nodes).where("state = 'unconsumed'").select(F.lit("who reads the topic").alias("rule"), F.col("id").alias("subject"), F.col("producers").cast("double").alias("weight"))
-    s = estate.service_table(edges, nodes).where("inbound = 0").select(F.lit("is the service alive").alias("rule"), F.col("id").alias("subject"), F.col("files").cast("double").alias("weight"))
-    b = bus.select(F.lit("who else knows the file").alias("rule"), F.concat_ws("/", "repo", "path").alias("subject"), F.col("author_share").alias("weight"))
+    caps = QUESTION_CAPS | (caps or {})
+    as_ = lambda d, rule, subject, weight: d.select(F.lit(rule).alias("rule"), subject.alias("subject"), weight.cast("double").alias("weight"))
+    col = F.col
+    shared, topic, svc = estate.shared_tables(edges), estate.topics(edges, nodes), estate.service_table(edges, nodes)
+    declared = edges.where("kind = 'defines-table'").select("dst").distinct()
+    bare = edges.where("kind IN ('reads-table', 'writes-table')").join(declared, "dst", "left_anti").groupBy("dst").agg(F.countDistinct("src").alias("n"))
+    offers = edges.where("kind IN ('exposes', 'produces')").select(col("src").alias("id")).distinct()
+    s = nodes.where("kind = 'service'").select("id")
+    link = edges.where(col("kind").isin(*vocab.SERVICE_KINDS)).join(s.select(col("id").alias("src")), "src", "left_semi").join(s.select(col("id").alias("dst")), "dst", "left_semi")
+    weak = link.groupBy("src", "dst").agg(F.count("*").alias("n"), F.bool_and(col("provenance") == "INFERRED").alias("only")).where("only")
+    dir_ = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    used = edges.where("kind = 'uses-library'").groupBy("dst").agg(F.countDistinct("src").alias("n"))
+    leaned = edges.where(col("kind").isin(*vocab.SYMBOL_KINDS)).groupBy("dst").agg(F.count("*").alias("n"))
+    parts = [
+        as_(shared.where("writers > 1"), "who owns the table", col("id"), col("writers")), as_(bare, "who declares the table", col("dst"), col("n")),
+        as_(topic.where("state = 'unconsumed'"), "who reads the topic", col("id"), col("producers")), as_(topic.where("state = 'unproduced'"), "who writes the topic", col("id"), col("consumers")),
+        as_(svc.where("inbound = 0"), "is the service alive", col("id"), col("files")), as_(svc.join(offers, "id", "left_anti"), "what does the service offer", col("id"), col("files")),
+        as_(weak, "is the link real", F.concat("src", F.lit(" > "), "dst"), col("n")), as_(bus, "who else knows the file", F.concat_ws("/", "repo", "path"), col("author_share")),
+        as_(coupled.where(dir_(col("a")) != dir_(col("b"))), "why do they change together", F.concat("a", F.lit(" + "), "b"), col("degree")),
+        as_(used, "does the library need to be so common", col("dst"), col("n")), as_(leaned, "which node do all lean on", col("dst"), col("n")),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
     cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
-    place = F.row_number().over(Window.partitionBy("rule").orderBy(F.col("weight").desc(), "subject"))
+    place = F.row_number().over(Window.partitionBy("rule").orderBy(col("weight").desc(), "subject"))
     # per-rule top-k: Spark prunes each partition to the largest cap before it shuffles
-    ranked = w.unionByName(t).unionByName(s).unionByName(b).withColumn("place", place).where(F.col("place") <= max(caps.values()))
-    return ranked.where(F.col("place") <= F.element_at(cap, F.col("rule"))).select("rule", "subject", F.col("place").cast("bigint").alias("place"))
+    ranked = every.withColumn("place", place).where(col("place") <= max(caps.values()))
+    return ranked.where(col("place") <= F.element_at(cap, col("rule"))).select("rule", "subject", col("place").cast("bigint").alias("place"))
 
 
 def version_drift(uses: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.operators import graph, views
+from terrane.operators import graph, history, views
 from terrane.plans import estate_queries as base
 from terrane.plans.estate_queries import CHANGES, GRAPH
 
@@ -115,17 +115,26 @@ def closest_module(t):
     return views.closest_module(t.repos.select(F.col("repo").alias("name")), t.n.where("kind = 'service'").select("name"))
 
 
-@query(CHANGES.replace("WITH ", GRAPH + ", ", 1) + """, m0 AS (SELECT repo, path, max(commits) / CAST(sum(commits) AS DOUBLE) AS share, sum(commits) AS r FROM own GROUP BY repo, path), bus AS (SELECT repo || '/' || path AS subject, round(share, 4) AS w FROM m0 WHERE share >= 0.8 AND r >= 3),
+@query(CHANGES.replace("WITH ", GRAPH + ", ", 1) + base.COCHANGE[: base.COCHANGE.index("\nSELECT p.repo")] + """, m0 AS (SELECT repo, path, max(commits) / CAST(sum(commits) AS DOUBLE) AS share, sum(commits) AS r FROM own GROUP BY repo, path), bus AS (SELECT repo || '/' || path AS subject, round(share, 4) AS w FROM m0 WHERE share >= 0.8 AND r >= 3),
 w AS (SELECT dst AS id, src, bool_or(kind = 'writes-table') AS w FROM e WHERE kind IN ('reads-table', 'writes-table') GROUP BY dst, src),
 tp AS (SELECT dst AS id, count(DISTINCT src) AS p FROM e WHERE kind = 'produces' GROUP BY dst), lone AS (SELECT n.id, n.name FROM n WHERE kind = 'service' AND id NOT IN (SELECT dst FROM e WHERE kind IN ('http', 'event', 'depends-on'))),
-q AS (SELECT 'who owns the table' AS rule, id AS subject, CAST(sum(w::INT) AS DOUBLE) AS weight FROM w GROUP BY id HAVING count(*) > 1 AND sum(w::INT) > 1
+sv AS (SELECT id, name FROM n WHERE kind = 'service'), fc AS (SELECT service, count(*) AS c FROM n WHERE kind = 'file' GROUP BY service),
+cp AS (SELECT p.repo || '/' || p.a AS a, p.repo || '/' || p.b AS b, round(CAST(shared AS DOUBLE) / ((ra.n + rb.n) / CAST(2 AS DOUBLE)), 4) AS degree FROM p JOIN rv ra ON ra.repo = p.repo AND ra.path = p.a JOIN rv rb ON rb.repo = p.repo AND rb.path = p.b WHERE CAST(shared AS DOUBLE) / ((ra.n + rb.n) / CAST(2 AS DOUBLE)) >= 0.30),
+qs AS (SELECT 'who owns the table' AS rule, id AS subject, CAST(sum(w::INT) AS DOUBLE) AS weight FROM w GROUP BY id HAVING count(*) > 1 AND sum(w::INT) > 1
+UNION ALL SELECT 'who declares the table', dst, CAST(count(DISTINCT src) AS DOUBLE) FROM e WHERE kind IN ('reads-table', 'writes-table') AND dst NOT IN (SELECT dst FROM e WHERE kind = 'defines-table') GROUP BY dst
 UNION ALL SELECT 'who reads the topic', id, CAST(p AS DOUBLE) FROM tp WHERE id NOT IN (SELECT src FROM e WHERE kind = 'consumed-by')
-UNION ALL SELECT 'is the service alive', id, CAST((SELECT count(*) FROM n f WHERE f.kind = 'file' AND f.service = lone.name) AS DOUBLE) FROM lone UNION ALL SELECT 'who else knows the file', subject, w FROM bus)
-SELECT rule, subject, row_number() OVER (PARTITION BY rule ORDER BY weight DESC, subject) AS place FROM q QUALIFY place <= 5""")
+UNION ALL SELECT 'who writes the topic', src, CAST(count(DISTINCT dst) AS DOUBLE) FROM e WHERE kind = 'consumed-by' AND src NOT IN (SELECT id FROM tp) GROUP BY src
+UNION ALL SELECT 'is the service alive', id, CAST(coalesce((SELECT c FROM fc WHERE fc.service = lone.name), 0) AS DOUBLE) FROM lone UNION ALL SELECT 'who else knows the file', subject, w FROM bus
+UNION ALL SELECT 'what does the service offer', id, CAST(coalesce((SELECT c FROM fc WHERE fc.service = sv.name), 0) AS DOUBLE) FROM sv WHERE id NOT IN (SELECT src FROM e WHERE kind IN ('exposes', 'produces'))
+UNION ALL SELECT 'is the link real', src || ' > ' || dst, CAST(count(*) AS DOUBLE) FROM e WHERE kind IN ('http', 'event', 'depends-on') AND src IN (SELECT id FROM sv) AND dst IN (SELECT id FROM sv) GROUP BY src, dst HAVING bool_and(provenance = 'INFERRED')
+UNION ALL SELECT 'why do they change together', a || ' + ' || b, degree FROM cp WHERE regexp_replace(a, '/[^/]*$', '') <> regexp_replace(b, '/[^/]*$', '')
+UNION ALL SELECT 'does the library need to be so common', dst, CAST(count(DISTINCT src) AS DOUBLE) FROM e WHERE kind = 'uses-library' GROUP BY dst
+UNION ALL SELECT 'which node do all lean on', dst, CAST(count(*) AS DOUBLE) FROM e WHERE kind IN ('calls', 'imports', 'extends') GROUP BY dst)
+SELECT rule, subject, row_number() OVER (PARTITION BY rule ORDER BY weight DESC, subject) AS place FROM qs QUALIFY place <= CASE WHEN rule IN ('does the library need to be so common', 'which node do all lean on') THEN 3 ELSE 5 END""")
 def questions(t):
     own = t.own
     bus = own.groupBy("repo", "path").agg(F.sum("commits").alias("r"), (F.max("commits") / F.sum("commits").cast("double")).alias("share")).where("share >= 0.8D AND r >= 3")
-    return views.questions(t.e, t.n, bus.select("repo", "path", F.round("share", 4).alias("author_share")))
+    return views.questions(t.e, t.n, bus.select("repo", "path", F.round("share", 4).alias("author_share")), history.cochange(t.ch))
 
 
 @query("""SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")

@@ -177,7 +177,7 @@ def gaps(t):
 
 @tool("What to ask the owners")
 def questions(t):
-    return views.questions(t.e, t.n, _bus(t)).orderBy("rule", "place")
+    return views.questions(t.e, t.n, _bus(t), history.cochange(t.ch)).orderBy("rule", "place")
 
 
 @tool("Services and libraries with their build artifacts")
