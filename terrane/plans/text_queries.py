@@ -28,7 +28,7 @@ def query(sql: str | None = None):
     return add
 
 
-NOISE = ", ".join(f"'{x}'" for x in code.CALL_NOISE)
+NOISE = ", ".join(f"'{x}'" for x in code.CALL_NOISE + code.KEYWORDS)
 NOT_TABLES = ", ".join(f"'{x}'" for x in vocab.NOT_TABLES)
 
 
@@ -38,7 +38,7 @@ def complexity(t):
 
 
 @query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
-h AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\b([A-Za-z_][A-Za-z0-9_]{{2,}})\s*\(', 1)) AS name FROM l)
+h AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\b([A-Za-z_][A-Za-z0-9_]{{2,}})\s*\(', 1)) AS name FROM l WHERE NOT regexp_matches(line, '{code.IMPORT_LINE}'))
 SELECT doc_id, name, min(line_no) AS line_no FROM h WHERE name NOT IN ({NOISE}) GROUP BY doc_id, name""")
 def call_names(t):
     return code.call_sites(t.documents)

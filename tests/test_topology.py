@@ -170,6 +170,11 @@ def test_config_is_found_upward_and_made(spark, tmp_path, monkeypatch):
         pass
 
 
+def test_files_no_reader_understands_are_gaps(spark):
+    f = spark.createDataFrame([("u", "a.json", "other", 1, "{"), ("u", "b.yaml", "other", 1, "a: [1"), ("u", "c.json", "other", 1, "{}"), ("u", "d.yml", "other", 1, None), ("u", "e.java", "java", 1, "{")], FILE)
+    assert sorted(r["detail"].split(":")[0] for r in files.unreadable(f).collect()) == ["u/a.json", "u/b.yaml"]
+
+
 def test_small_views(spark):
     j = spark.createDataFrame([('{"b": 1, "a": "x"}',), ("no",), (None,)], "t string").select(views.sorted_json(F.col("t")).alias("t"))
     assert [r[0] for r in j.collect()] == ['{"a":"x","b":"1"}', None, None]
