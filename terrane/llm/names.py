@@ -22,8 +22,8 @@ NICKNAMES = {
     "katharina": "kathi katha kathy kati katja kate", "margaret": "maggie peggy meg greta marge", "michael": "mike mick micha michi",
     "nikolaus": "niko klaus nico nick", "priyanka": "priya", "robert": "rob bob bobby bert robbie", "samuel": "sam sammy",
     "susanne": "susi sanne suse susie", "theodore": "theo ted teddy", "thomas": "tom tommy", "victoria": "vicky tori vicki",
-    "william": "will bill billy willy liam", "zofia": "zosia sofia", "olena": "lena olenka", "chiara": "clara", "ingrid": "inga inka", "bjorn": "bjarne",
-    "jorg": "jurgen", "lars": "lasse", "mehmet": "memo", "yusuf": "yus", "hiroshi": "hiro", "renee": "rena", "nadege": "nadia",
+    "william": "will bill billy willy liam", "zofia": "zosia sofia", "olena": "lena olenka", "ingrid": "inga inka",
+    "lars": "lasse", "yusuf": "yus", "hiroshi": "hiro",
     "james": "jim jimmy jamie", "john": "jack johnny", "richard": "rick dick rich", "charles": "charlie chuck", "henry": "harry hank",
     "anthony": "tony", "matthew": "matt", "patricia": "pat patty trish", "catherine": "cathy cat", "rebecca": "becky", "stephen": "steve",
     "david": "dave", "gregory": "greg", "jeffrey": "jeff", "kenneth": "ken", "timothy": "tim", "nicholas": "nicky", "philip": "phil", "peter": "pete",
@@ -105,10 +105,18 @@ def parse(name: str) -> tuple[str, list[str], list[str]]:
     return "person", tokens, initials
 
 
-_NICK: dict[str, set[str]] = {}
+_KNOWN: dict[str, set[str]] = {}
 for _full, _short in NICKNAMES.items():
     for _n in [_full, *_short.split()]:
-        _NICK.setdefault(_umlaut(_n), set()).add(_full)
+        _KNOWN.setdefault(_umlaut(_n), set()).add(_full)
+_NICK: dict[str, set[str]] = dict(_KNOWN)
+
+
+def use(nicknames: bool) -> None:
+    """Whether this process knows NICKNAMES; said by each task, as the list is a parameter of the operator."""
+    _NICK.clear()
+    if nicknames:
+        _NICK.update(_KNOWN)
 
 
 def osa(a: str, b: str, most: int = 1) -> int:
@@ -246,8 +254,9 @@ def spots(tokens: list[str]) -> list[tuple]:
     return out
 
 
-def _parsed(names: DataFrame) -> DataFrame:
+def _parsed(names: DataFrame, nicknames: bool) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use(nicknames)
         for pdf in parts:
             rows = []
             for n in pdf["name"]:
@@ -282,9 +291,9 @@ def similar_tokens(tokens: DataFrame, q: int = 4) -> DataFrame:
     return near.unionByName(near.select(F.col("tok_b").alias("tok_a"), F.col("tok_a").alias("tok_b")))
 
 
-def links(names: DataFrame) -> DataFrame:
+def links(names: DataFrame, nicknames: bool = True) -> DataFrame:
     """(name_a, name_b, brief) of verified pairs, name_a < name_b, from distinct non-blank (name)."""
-    parsed = cut(_parsed(names))
+    parsed = cut(_parsed(names, nicknames))
     total = parsed.count()
     df = parsed.select(F.explode(F.array_distinct("tokens")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
     weigh = parsed.select("name", F.explode(F.array_distinct("tokens")).alias("tok")).join(df, "tok")
@@ -334,6 +343,7 @@ def links(names: DataFrame) -> DataFrame:
     full = pairs.join(side("a"), "name_a").join(side("b"), "name_b")
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use(nicknames)
         for pdf in parts:
             rows = []
             for na, nb, a, b in zip(pdf["name_a"], pdf["name_b"], pdf["a"], pdf["b"]):
@@ -365,13 +375,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return at
 
 
-def entities(names: DataFrame) -> DataFrame:
+def entities(names: DataFrame, nicknames: bool = True) -> DataFrame:
     """(name, entity) of distinct non-blank names.
 
     Full names that are alike join at once. A spelling with initials only (or a login) joins an entity when exactly one fits;
     when several fit, it stands alone. Such spellings that fit none join each other if alike.
     """
-    found = cut(links(names))
+    found = cut(links(names, nicknames))
     strong, weak = found.where("brief = ''"), found.where("brief <> ''")
     base = components(names, strong)
     side = lambda x, y: weak.select(F.col(f"name_{x}").alias("name"), F.col(f"name_{y}").alias("to"), F.col("brief").contains(x).alias("brief"), F.col("brief").contains(y).alias("to_brief"))
@@ -391,16 +401,17 @@ def entities(names: DataFrame) -> DataFrame:
     )
 
 
-def members(ownership: DataFrame, file_metrics: DataFrame) -> DataFrame:
+def members(ownership: DataFrame, file_metrics: DataFrame, nicknames: bool = True) -> DataFrame:
     """(name, entity): every spelling, as stored, with the least spelling of its entity; the whole result in one row a name.
 
     Null and blank names are no names. Repeats count once. Names that differ only in white space or case are variants.
+    ``nicknames`` off leaves the list of pet names out.
     """
     names = cut(
         ownership.select(F.col("author").alias("name")).unionByName(file_metrics.select(F.col("main_author").alias("name")))
         .where("name IS NOT NULL AND trim(name) <> ''").distinct()
     )
-    return entities(names)
+    return entities(names, nicknames)
 
 
 def found(ownership: DataFrame, file_metrics: DataFrame) -> DataFrame:
