@@ -18,5 +18,6 @@ def test_query(spark, name):
         assert len(out) == len(set(out)) > 0
     if name in queries.ORACLE:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW commits AS SELECT * FROM read_parquet('{SF}/commits.parquet')")
+        for t in ("commits", "documents", "mix_targets", "size_limits"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
         assert out == sorted(con.execute(queries.ORACLE[name]).fetchall(), key=repr)
